@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrelwatch.session import materialise
+
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 _MERGE = {
     "sum": lambda a, b: F.coalesce(a + b, a, b),
@@ -49,13 +51,24 @@ def _over(spec: Spec, keys: Sequence[str], order: Sequence[str]) -> Column:
 
 
 def scan(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], specs: Sequence[Spec], slice_col: str | None = None
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    specs: Sequence[Spec],
+    slice_col: str | None = None,
+    chained: bool = False,
 ) -> DataFrame:
-    """Add one column per spec. ``slice_col`` must rise with ``order`` inside a group; None means one slice."""
+    """Add one column per spec. ``slice_col`` must rise with ``order`` inside a group; None means one slice.
+
+    A sliced scan reads its input twice. ``chained`` says that the input is itself the result of a sliced scan, so that
+    it is written out first instead of being computed twice, and its input four times, and so on.
+    """
     if not specs:
         return df
     if slice_col is None:
         return df.withColumns({s.name: _over(s, group, order) for s in specs})
+    if chained:
+        df = materialise(df, "scan")
     keys = [*group, slice_col]
     local = df.withColumns({s.name: _over(s, keys, order) for s in specs if s.frame != "all"})
 

@@ -121,9 +121,11 @@ def _with_positions(transitions: DataFrame, rules: RuleSet, slice_col: str | Non
     """
     part = ["key", slice_col] if slice_col else ["key"]
     order = ["timestamp", "streamid", "eventid", F.desc("open"), _state_rank(rules), *TAG_SLOTS]
+    w = Window.partitionBy(*part).orderBy(*order)
     base = F.col(slice_col) * F.lit(_ROWS_PER_SLICE) if slice_col else F.lit(0)
-    rows = transitions.repartition(*part).dropDuplicates()
-    return rows.withColumn("_pos", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) + base)
+    # The order covers every column, so equal rows are peers: only the first of them has its rank as its number.
+    rows = transitions.repartition(*part).withColumns({"_pos": F.row_number().over(w), "_rank": F.rank().over(w)})
+    return rows.filter("_pos = _rank").withColumn("_pos", F.col("_pos") + base).drop("_rank")
 
 
 # --------------------------------------------------------------------------------------------------------------- ends
@@ -204,7 +206,7 @@ def _ends(rows: DataFrame, closing: _Closing, slice_col: str | None) -> DataFram
             Spec("_closes", "sum", (~is_open).cast("long")),
             Spec("_balance", "sum", F.when(is_open, 1).otherwise(-1).cast("long")),
         ]
-    rows = scan(rows, _GROUP, ["_pos"], specs, slice_col)
+    rows = scan(rows, _GROUP, ["_pos"], specs, slice_col, chained=bool(closing.uneven))
 
     # Second pass, on what the first one found.
     specs = []
@@ -216,7 +218,7 @@ def _ends(rows: DataFrame, closing: _Closing, slice_col: str | None) -> DataFram
         ]
     if POP in strategies:
         specs.append(Spec("_low", "min", F.col("_balance"), "before"))
-    rows = scan(rows, _GROUP, ["_pos"], specs, slice_col)
+    rows = scan(rows, _GROUP, ["_pos"], specs, slice_col, chained=True)
 
     if POP in strategies:
         # A close that takes the balance below its lowest point so far found nothing open; the others are numbered.
@@ -245,7 +247,7 @@ def _ends(rows: DataFrame, closing: _Closing, slice_col: str | None) -> DataFram
         here = F.col("state").isin(*[s.name for s in uneven if mask in closing.other_masks(s)])
         rows = closing.grouped(rows, lambda s, m=mask: m)
         found = Spec("_other", "min", F.when((_mask_of_row() == mask) & here, close_pos), "after")
-        rows = scan(rows, _GROUP, ["_pos"], [found], slice_col)
+        rows = scan(rows, _GROUP, ["_pos"], [found], slice_col, chained=True)
         rows = rows.withColumn("_end", F.when(here & is_open, F.least("_end", "_other")).otherwise(F.col("_end")))
     return rows.select(*columns)
 
@@ -348,7 +350,7 @@ def _missing(histories: DataFrame, rules: RuleSet, profile: Profile, probe: Colu
     group = ["key", "_need", "_mask", "_g0", "_g1", "_g2"]
     # At equal positions the opening itself comes before its own look-up: a state satisfies a requirement on itself.
     found = found.withColumn("_looks", F.col("_turn").isNotNull())
-    found = scan(found, group, ["_pos", "_looks"], [Spec("_alive", "max", F.col("_until"))], slice_col)
+    found = scan(found, group, ["_pos", "_looks"], [Spec("_alive", "max", F.col("_until"))], slice_col, chained=True)
     return found.filter("_looks and coalesce(_alive, -1) <= _pos")
 
 

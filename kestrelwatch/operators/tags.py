@@ -30,7 +30,7 @@ def _levels(rows: DataFrame, tag: str, slice_col: str | None) -> DataFrame:
     rows = rows.withColumn("_change", F.when(F.col("open"), 1).otherwise(-1).cast("long"))
     group = ["key", tag]
     rows = scan(rows, group, ["_pos"], [Spec("_sum", "sum", F.col("_change"))], slice_col)
-    rows = scan(rows, group, ["_pos"], [Spec("_low", "min", F.col("_sum"), "before")], slice_col)
+    rows = scan(rows, group, ["_pos"], [Spec("_low", "min", F.col("_sum"), "before")], slice_col, chained=True)
     # A close that takes the running sum below its lowest point so far closed nothing; the sum is lifted by as much.
     low = F.least(F.lit(0), F.coalesce("_low", F.lit(0)))
     level = F.col("_sum") - F.least(low, F.col("_sum"))
@@ -59,7 +59,7 @@ def concurrent_tags(transitions: DataFrame, state: str, tag: str, hot: HotKeys =
 
     def body(part: DataFrame, slice_col: str | None) -> DataFrame:
         rows = _levels(part, tag, slice_col)
-        rows = scan(rows, ["key"], ["_pos"], [Spec("_open", "sum", F.col("_step"))], slice_col)
+        rows = scan(rows, ["key"], ["_pos"], [Spec("_open", "sum", F.col("_step"))], slice_col, chained=True)
         return rows.groupBy("key").agg(F.max("_open").alias("concurrent"))
 
     return split_scan(_rows(transitions, state, tag), "key", hot, body, time_slice(F.col("timestamp")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrelwatch.operators.state_monitor import TRANSITION_COLUMNS
-from kestrelwatch.rules import TAG_SLOTS, RuleSet, Transition
+from kestrelwatch.rules import TAG_SLOTS, RuleSet
 
 
 def map_transitions(events: DataFrame, rules: RuleSet) -> DataFrame:
@@ -15,30 +15,30 @@ def map_transitions(events: DataFrame, rules: RuleSet) -> DataFrame:
     Rule filters and tag definitions are SQL over the columns of ``events``. A tag that a rule does not define is null,
     as are ids the rule set does not name.
     """
-
-    def matched(name: str, is_open: bool, t: Transition) -> Column:
+    cases = [(s.name, True, s.open) for s in rules.states]
+    cases += [(s.name, False, s.close) for s in rules.states if s.close]
+    # First everything that reads the event, as flat columns: only the fields in use are read or built, and each tag
+    # definition is evaluated once however many rules share it.
+    definitions = sorted({d for _, _, t in cases for d in t.tags.values()})
+    fields = {d: f"_tag{i}" for i, d in enumerate(definitions)}
+    event_id = F.expr(rules.event_id) if rules.event_id else F.lit(None)
+    stream_id = F.expr(rules.stream_id) if rules.event_id and rules.stream_id else F.lit(None)
+    flat = events.select(
+        F.col("key").cast("string").alias("key"),
+        "timestamp",
+        event_id.cast("string").alias("eventid"),
+        stream_id.cast("string").alias("streamid"),
+        *[F.coalesce(F.expr(t.filter), F.lit(False)).alias(f"_rule{i}") for i, (_, _, t) in enumerate(cases)],
+        *[F.expr(d).cast("string").alias(name) for d, name in fields.items()],
+    )
+    matched = []
+    for i, (name, is_open, t) in enumerate(cases):
         tags = [
-            (F.expr(t.tags[tag]) if tag in t.tags else F.lit(None)).cast("string").alias(slot)
+            (F.col(fields[t.tags[tag]]) if tag in t.tags else F.lit(None).cast("string")).alias(slot)
             for slot, tag in zip(TAG_SLOTS, rules.tag_names)
         ]
-        return F.when(F.expr(t.filter), F.struct(F.lit(name).alias("state"), F.lit(is_open).alias("open"), *tags))
-
-    cases = [matched(s.name, True, s.open) for s in rules.states]
-    cases += [matched(s.name, False, s.close) for s in rules.states if s.close]
-
-    def identifier(definition: str | None) -> Column:
-        return (F.expr(definition) if definition else F.lit(None)).cast("string")
-
-    stream_id = identifier(rules.stream_id if rules.event_id else None)
-    any_rule = " or ".join(f"({t.filter})" for s in rules.states for t in (s.open, s.close) if t)
-    return (
-        events.filter(any_rule)
-        .select(
-            F.col("key").cast("string").alias("key"),
-            "timestamp",
-            identifier(rules.event_id).alias("eventid"),
-            stream_id.alias("streamid"),
-            F.inline(F.filter(F.array(*cases), lambda c: c.isNotNull())),
-        )
-        .select(*TRANSITION_COLUMNS)
-    )
+        row = F.struct(F.lit(name).alias("state"), F.lit(is_open).alias("open"), *tags)
+        matched.append(F.when(F.col(f"_rule{i}"), row))
+    rows = flat.filter(" or ".join(f"_rule{i}" for i in range(len(cases))))
+    routed = rows.select("key", "timestamp", "eventid", "streamid", F.inline(F.array(*matched)))
+    return routed.filter("state is not null").select(*TRANSITION_COLUMNS)

@@ -215,7 +215,7 @@ def _opened(found: DataFrame) -> DataFrame:
 
 
 def _missing(spark, sf, rules):
-    return sm.state_monitor(tables.transitions(spark, sf, rules), rules, AS_OF)
+    return sm.state_monitor(tables.stored_transitions(spark, sf, rules), rules, AS_OF)
 
 
 @query(S.MISSING_CLOSE)
@@ -250,7 +250,7 @@ SELECT key, state, ts AS closed_at, tag1, eventid, streamid, ambiguous_opens,
 FROM ambiguous WHERE nr = 1""")
 def state_warnings(spark, sf):
     rules = tables.monitor_rules("warn")
-    found = sm.state_warnings(tables.transitions(spark, sf, rules), rules, AS_OF)
+    found = sm.state_warnings(tables.stored_transitions(spark, sf, rules), rules, AS_OF)
     message = texts.transition_text(rules, F.lit(False)).alias("message")
     return found.select(
         "key", "state", F.col("timestamp").alias("closed_at"), "tag1", "eventid", "streamid", "ambiguous_opens", message
@@ -270,7 +270,7 @@ SELECT key, ts AS opened_at, tag1, eventid, streamid, 'vpn' AS required_state,
 FROM later WHERE event_id NOT IN (SELECT event_id FROM earlier)""")
 def state_judged_second_run(spark, sf):
     rules = tables.monitor_rules("close")
-    rows = tables.transitions(spark, sf, rules)
+    rows = tables.stored_transitions(spark, sf, rules)
     first, second = "2024-01-20T12:00:00Z", "2024-01-28T12:00:00Z"
     found = sm.judge(rows, rules, second, last_run=first, judged_before=sm.judge(rows, rules, first))
     return _opened(found).drop("state", "tag2")
@@ -300,7 +300,7 @@ levels AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY key, tag1 ORDER BY t
 @query(f"""WITH {S.tr()} {LEVELS}
 SELECT key, ts AS happened_at, open, tag1, eventid, streamid, CAST(level AS BIGINT) AS level FROM levels""")
 def tag_open_levels(spark, sf):
-    rows = tables.transitions(spark, sf)
+    rows = tables.stored_transitions(spark, sf, tables.monitor_rules())
     found = tags.open_levels(rows, "vpn", "tag1", hot_keys(rows, "key"))
     return found.withColumnRenamed("timestamp", "happened_at")
 
@@ -311,7 +311,7 @@ changes AS (SELECT *, CAST(level > 0 AS INTEGER)
 now AS (SELECT key, sum(d) OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM changes)
 SELECT key, CAST(max(n) AS BIGINT) AS concurrent FROM now GROUP BY key""")
 def tag_concurrency(spark, sf):
-    rows = tables.transitions(spark, sf)
+    rows = tables.stored_transitions(spark, sf, tables.monitor_rules())
     return tags.concurrent_tags(rows, "vpn", "tag1", hot_keys(rows, "key"))
 
 
@@ -390,7 +390,7 @@ def entity_timeline(spark, sf):
 
 # -------------------------------------------------------------------------------------------------------------- replay
 @query(f"""WITH {S.EV}, {OLDEST},
-o AS (SELECT system AS feed, event_id AS line, (epoch_ms(ts) - epoch_ms(oldest)) * 60 // 3600 AS off FROM ev, start)
+o AS (SELECT system AS feed, event_id AS line, (epoch_us(ts) // 1000 - epoch_us(oldest) // 1000) * 60 // 3600 AS off FROM ev, start)
 SELECT feed, line, epoch_ms(CAST(epoch_ms(TIMESTAMP '2030-01-01') + off AS BIGINT)) AS replay_time,
   CAST(max(greatest(1, ceil(off / 60000.0))) OVER (PARTITION BY feed ORDER BY line) AS BIGINT) AS batch FROM o""")
 def accelerated_batches(spark, sf):

@@ -9,12 +9,14 @@ from kestrelwatch.functions.texts import iso_utc
 from kestrelwatch.operators.normalise import ISO_MICROS, event_struct
 from kestrelwatch.operators.transitions import map_transitions
 from kestrelwatch.rules import RuleSet, rules_from_dict
+from kestrelwatch.session import materialise
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    # With the schema given, planning needs no job that reads file footers.
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,3 +108,9 @@ def monitor_rules(strategy: str = "warn", open_tags: tuple[str, ...] = ("domain"
 
 def transitions(spark: SparkSession, sf_dir: str, rules: RuleSet | None = None) -> DataFrame:
     return map_transitions(events(spark, sf_dir), rules or monitor_rules())
+
+
+def stored_transitions(spark: SparkSession, sf_dir: str, rules: RuleSet) -> DataFrame:
+    """The transitions as a table of their own: events are parsed and routed once, and what reads them several times
+    (the profile, ordinary and hot keys, a second run) reads narrow rows."""
+    return materialise(transitions(spark, sf_dir, rules), "transitions")

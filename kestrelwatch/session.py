@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+log = logging.getLogger(__name__)
 
 # Settings that help these plans; a value already set in the session is left alone.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Recording a Python call site for every column costs more than planning these queries.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Stream state beyond executor memory stays on local disk, and only changes are uploaded.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -41,3 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a DataFrame that several later steps read to the shared folder, and read it back. This cuts its lineage
+    in a way that outlives executors. Without a shared folder the steps recompute it."""
+    spark = df.sparkSession
+    try:
+        path = work_dir(spark, purpose)
+    except RuntimeError as unset:
+        log.warning("%s is recomputed by each step that needs it: %s", purpose, unset)
+        return df
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -47,7 +47,8 @@ def compare(frame, con, sql):
     want = rows(want_columns, result.fetchall())
     if got == want:
         return None, len(got)
-    extra, lacking = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+    in_got, in_want = set(got), set(want)
+    extra, lacking = [r for r in got if r not in in_want][:3], [r for r in want if r not in in_got][:3]
     return f"{len(got)} rows != {len(want)}; only Spark {extra}; only SQL {lacking}", len(got)
 
 

@@ -62,3 +62,24 @@ def identity(t):
 
 def at(text):
     return datetime.fromisoformat(text.replace("Z", "+00:00")).astimezone(timezone.utc).replace(tzinfo=None)
+
+
+def replay_runs(runs, rules, horizon):
+    """Runs over time: ``runs`` is [(now, rows that arrived since the last run)]. After each run, what is older than
+    ``horizon`` before it is forgotten. Returns per run (new judgements, newly warned keys)."""
+    held, judged, warned, last, out = [], {}, set(), None, []
+    for now, arrived in runs:
+        held += arrived
+        new, warnings = {}, set()
+        for key in {t["key"] for t in held}:
+            found, ambiguous = replay([t for t in held if t["key"] == key], rules, now, last, judged)
+            new.update(found)
+            if ambiguous and key not in warned:
+                warnings.add(key)
+        judged.update(new)
+        warned |= warnings
+        out.append((new, warnings))
+        held = [t for t in held if not now > t["timestamp"] + horizon]
+        judged = {i: v for i, v in judged.items() if not now > i[1] + horizon}
+        last = now
+    return out

@@ -1,0 +1,35 @@
+"""Every registered query against its SQL, on the smallest given tables."""
+
+import os
+
+import pytest
+
+import check_sql
+
+SF_DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the given tables")
+
+
+def names():
+    import sys
+
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import __spark_entry__
+
+    return list(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", names())
+def test_query(spark, name):
+    pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    problem, _ = check_sql.compare(entry.queries()[name](spark, SF_DIR), check_sql.tables(SF_DIR), entry.oracle_sql().get(name))
+    assert problem is None
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
