@@ -9,8 +9,6 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel, Rando
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrelwatch.operators.scan import broadcast_if_small
-
 MODELS = {"linear": LinearRegressionModel, "logistic": LogisticRegressionModel, "forest": RandomForestRegressionModel}
 MAX_ITER, REG_PARAM = 20, 0.001
 MAX_CLASSES = 1000
@@ -98,11 +96,3 @@ def mean_per_hour_of_week(counts: DataFrame) -> DataFrame:
 
 def predict_mean(counts: DataFrame, means: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(means), ["day", "hour"], "left").select(*counts.columns, "prediction")
-
-
-def events_of(windows: DataFrame, events: DataFrame, size: str = "1 hour") -> DataFrame:
-    """The events that fall into given windows, with the windows' columns. There are few outlier windows; they are
-    broadcast if that holds."""
-    named = events.withColumn("_window", F.window("timestamp", size))
-    small = broadcast_if_small(windows)
-    return named.join(small, F.col("_window.start") == F.col("window.start")).drop("_window")

@@ -39,6 +39,6 @@ def map_transitions(events: DataFrame, rules: RuleSet) -> DataFrame:
         ]
         row = F.struct(F.lit(name).alias("state"), F.lit(is_open).alias("open"), *tags)
         matched.append(F.when(F.col(f"_rule{i}"), row))
-    rows = flat.filter(" or ".join(f"_rule{i}" for i in range(len(cases))))
-    routed = rows.select("key", "timestamp", "eventid", "streamid", F.inline(F.array(*matched)))
+    # No filter before the rows are made: it would be pushed below the parsing of JSON events and parse them again.
+    routed = flat.select("key", "timestamp", "eventid", "streamid", F.inline(F.array(*matched)))
     return routed.filter("state is not null").select(*TRANSITION_COLUMNS)

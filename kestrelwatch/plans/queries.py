@@ -15,7 +15,7 @@ from kestrelwatch.operators import state_monitor as sm
 from kestrelwatch.operators.scan import hot_keys
 from kestrelwatch.plans import sql as S
 from kestrelwatch.plans import tables
-from kestrelwatch.session import work_dir
+from kestrelwatch.session import materialise, work_dir
 from kestrelwatch.sources.readers import select_events
 from kestrelwatch.sources.schema import discover_schema
 from kestrelwatch.sources.writers import run_available
@@ -357,6 +357,7 @@ FROM (SELECT count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fp FROM a
      (SELECT count(*) FILTER (hit) AS ok, count(*) FILTER (NOT hit) AS fn FROM t)""")
 def alert_score(spark, sf):
     found = _missing(spark, sf, tables.monitor_rules("close")).select(F.col("key").alias("entity"), "timestamp")
+    found = materialise(found, "found")  # scoring reads the alerts twice
     raw = tables.raw_events(spark, sf).filter("event_type = 'error' and value > 20")
     truth = tables.as_events(raw).select(F.col("key").alias("entity"), "timestamp")
     return scoring.score_alerts(found, truth, timedelta(hours=6))

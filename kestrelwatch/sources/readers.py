@@ -70,8 +70,8 @@ def read_events(
     description: str | None = None,
     max_results: int | None = None,
 ) -> DataFrame:
-    """Stored events with ``idxEventTime`` and ``idxDescription`` next to their ``json``, strictly between two times
-    and of one kind. All conditions reach the scan. ``max_results`` keeps the earliest."""
+    """Stored events (see ``store_events``) strictly between two times and of one kind. All conditions reach the scan,
+    and the days outside the range are not read. ``max_results`` keeps the earliest."""
     return select_events(spark.read.parquet(path), after, before, description, max_results)
 
 
@@ -86,10 +86,13 @@ def select_events(
     ties: Sequence[str] = (),
 ) -> DataFrame:
     rows = stored
+    dated = "date" in stored.columns
     if after is not None:
         rows = rows.filter(F.col(time) > F.lit(after))
+        rows = rows.filter(F.col("date") >= F.lit(after[:10]).cast("date")) if dated else rows
     if before is not None:
         rows = rows.filter(F.col(time) < F.lit(before))
+        rows = rows.filter(F.col("date") <= F.lit(before[:10]).cast("date")) if dated else rows
     if description is not None:
         rows = rows.filter(F.col(kind) == description)
     return rows if max_results is None else rows.orderBy(time, *ties).limit(max_results)

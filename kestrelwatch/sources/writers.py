@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kestrelwatch.functions.texts import iso_utc
 from kestrelwatch.operators.alerts import alert_lines
+from kestrelwatch.operators.normalise import operation
 
 
 def write_alert_lines(alerts: DataFrame, path: str, batch_id: int | None = None) -> None:
@@ -44,6 +47,19 @@ def fan_out(*writers: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
     return write
 
 
+def store_events(events: DataFrame, path: str) -> None:
+    """Parsed events as a table that ``read_events`` searches: the event as ``json``, ``idxEventTime`` and
+    ``idxDescription`` to filter by, a folder per day, sorted by time so that row groups cover short spans."""
+    rows = events.select(
+        "key",
+        F.to_json("Event").alias("json"),
+        iso_utc(F.col("timestamp")).alias("idxEventTime"),
+        operation().alias("idxDescription"),
+        F.to_date("timestamp").alias("date"),
+    )
+    rows.sortWithinPartitions("date", "idxEventTime").write.mode("append").partitionBy("date").parquet(path)
+
+
 def write_messages(messages: DataFrame, servers: str, topic: str | None = None, checkpoint: str | None = None):
     """Rows of ``to_messages`` to Kafka, as a batch or, for a stream, as a started query."""
     writer = messages.writeStream if messages.isStreaming else messages.write

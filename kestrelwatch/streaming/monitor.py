@@ -65,6 +65,12 @@ class MonitorStore:
             .parquet(f"{self.path}/transitions")
         )
 
+    def arrived(self, arrival: int) -> DataFrame:
+        rows = self._table("transitions", _TRANSITIONS + ", date date, arrival long")
+        if rows is None:
+            return self.spark.createDataFrame([], _TRANSITIONS)
+        return rows.filter(F.col("arrival") == arrival).select(*TRANSITION_COLUMNS)
+
     def last_run(self, before: int | None = None) -> Run | None:
         log = self._table("log", "as_of timestamp, arrival long, run int")
         if log is None:
@@ -157,7 +163,8 @@ def monitor_stream(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         tables.append(batch, batch_id)
-        now = clock(batch, tables.last_run(before=batch_id))
+        # The batch is read back from the table: reading it again from the source would parse its events again.
+        now = clock(tables.arrived(batch_id), tables.last_run(before=batch_id))
         missing, warnings = tables.run(rules, now, batch_id, hot_rows)
         sink(missing, warnings, batch_id)
 

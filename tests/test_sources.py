@@ -121,3 +121,26 @@ def test_kafka_options():
 def test_materialise_uses_the_shared_folder(spark):
     df = materialise(spark.range(5), "five")
     assert df.count() == 5 and df.inputFiles()[0].startswith(f"file://{shared_dir(spark)}/five-")
+
+
+def test_store_and_search_events(spark, tmp_path):
+    events = spark.range(96).select(
+        F.lit("k").alias("key"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).alias("timestamp"),
+        F.when(F.col("id") % 2 == 0, "Login").otherwise("Logout").alias("kind"),
+        F.col("id").cast("string").alias("eventid"),
+    ).withColumn("Event", normalise.event_struct({"EventDetail.TypeId": F.col("kind"), "EventId": F.col("eventid")}))
+    writers.store_events(events, str(tmp_path / "e"))
+    found = readers.read_events(spark, str(tmp_path / "e"), "2024-01-02T00:00:00.000Z", "2024-01-03T00:00:00.000Z", "Login")
+    assert found.count() == 11 and {str(r.date) for r in found.collect()} == {"2024-01-02"}
+    assert "PartitionFilters: [isnotnull(date" in found._jdf.queryExecution().executedPlan().toString()
+    assert discover_schema(found).simpleString() == "struct<EventDetail:struct<TypeId:string>,EventId:string>"
+
+
+def test_feed_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "VPN.txt").write_text("2024-01-01T00:00:00.000Z, Login, User1, Device1\n")
+    feed = readers.read_feed(spark, str(tmp_path / "in"), ("user", "device"), streaming=True)
+    writers.run_available(feed, lambda df, i: df.write.mode("overwrite").parquet(f"{tmp_path}/out/b={i}"), str(tmp_path / "cp"))
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert (row.user, row.device, row.file, row.timestamp) == ("User1", "Device1", "VPN.txt", datetime(2024, 1, 1))
