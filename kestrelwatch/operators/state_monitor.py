@@ -14,7 +14,8 @@ How each strategy fixes ``_end``, within one (key, state, tags set on the close)
   warn   at most one open is outstanding until two opens follow each other; from there on nothing closes any more.
 
 ``pop`` and ``warn`` need the closes of a (key, state) to set the same tags. Where they do not, e.g. a device missing in
-some events, that (key, state) is replayed row by row, streamed from sorted partitions.
+some events, the rows of that (key, state) which share the tags that all closes set are replayed one by one, streamed
+from sorted partitions.
 """
 
 from __future__ import annotations
@@ -161,6 +162,10 @@ class _Closing:
     def other_masks(self, s: State) -> tuple[int, ...]:
         return tuple(m for m in self.profile.close_masks.get(s.name, ()) if m != self.base_mask(s))
 
+    def common_mask(self, s: State) -> int:
+        """The tags that every close of the state sets: opens and closes that differ in one of them never meet."""
+        return reduce(lambda a, b: a & b, self.profile.close_masks.get(s.name, ()), len(ALL_MASKS) - 1)
+
     @property
     def strategies(self) -> set[str]:
         return {s.strategy for s in self.states}
@@ -253,7 +258,7 @@ def _ends(rows: DataFrame, closing: _Closing, slice_col: str | None) -> DataFram
 
 
 def _replay(strategy_of: dict[str, str]):
-    """Row-by-row replay of sorted (key, state) runs; only the current open set is held."""
+    """Row-by-row replay of sorted groups; only the current open set is held."""
 
     def settle(opened: dict, row: dict) -> tuple[list[dict], int | None]:
         wanted = {t: row[t] for t in TAG_SLOTS if row[t] is not None}
@@ -271,9 +276,9 @@ def _replay(strategy_of: dict[str, str]):
             columns = list(batch.columns)
             done: list[dict] = []
             for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-                if (row["key"], row["state"]) != current:
+                if [row[c] for c in _GROUP] != current:
                     done += opened.values()
-                    opened, current = {}, (row["key"], row["state"])
+                    opened, current = {}, [row[c] for c in _GROUP]
                 if row["open"]:
                     opened[row["_pos"]] = {**row, "_end": NEVER}
                 else:
@@ -287,12 +292,12 @@ def _replay(strategy_of: dict[str, str]):
 
 
 def _replayed(rows: DataFrame, closing: _Closing) -> DataFrame:
-    """``_ends`` for (key, state) whose closes differ in the tags they set. Rows stream through in order, so a large
-    (key, state) costs time in its task, not memory."""
-    columns = [*rows.columns, "_end", "_ambiguous"]
+    """``_ends`` for groups whose closes differ in the tags they set. Rows stream through in order, so a large group
+    costs time in its task, not memory."""
+    columns = [c for c in rows.columns if c not in _GROUP[2:]] + ["_end", "_ambiguous"]
     rows = rows.withColumn("timestamp", F.unix_micros("timestamp"))
-    rows = rows.withColumns({c: F.lit(None).cast("long") for c in columns[-2:]}).repartition("key", "state")
-    done = rows.sortWithinPartitions("key", "state", "_pos").mapInPandas(
+    rows = rows.withColumns({c: F.lit(None).cast("long") for c in columns[-2:]}).repartition(*_GROUP)
+    done = rows.sortWithinPartitions(*_GROUP, "_pos").mapInPandas(
         _replay({s.name: s.strategy for s in closing.states}), rows.schema
     )
     return done.withColumn("timestamp", F.timestamp_micros("timestamp")).select(*columns)
@@ -303,10 +308,12 @@ def _histories(rows: DataFrame, closing: _Closing, slice_col: str | None) -> Dat
     rows = _with_positions(rows, closing.rules, slice_col)
     if not closing.uneven:
         return _ends(rows, closing, slice_col)
+    # Groups by the tags that all closes of a state set; only those with an unusual close are replayed.
+    rows = closing.grouped(rows, closing.common_mask)
     names = F.col("state").isin(*[s.name for s in closing.uneven])
     differs = F.coalesce(names & ~F.col("open") & ~closing.has_base_mask(), F.lit(False))
-    flagged = scan(rows, ["key", "state"], ["_pos"], [Spec("_odd", "max", differs.cast("int"), "all")], slice_col)
-    even = _ends(flagged.filter("_odd = 0").drop("_odd"), closing, slice_col)
+    flagged = scan(rows, _GROUP, ["_pos"], [Spec("_odd", "max", differs.cast("int"), "all")], slice_col)
+    even = _ends(flagged.filter("_odd = 0").drop("_odd", *_GROUP[2:]), closing, slice_col)
     return even.unionByName(_replayed(flagged.filter("_odd = 1").drop("_odd"), closing))
 
 
@@ -436,6 +443,16 @@ def ambiguous_closes(
     transitions: DataFrame, rules: RuleSet, as_of: datetime | str, profile: Profile | None = None
 ) -> DataFrame:
     """Closes of ``warn`` states that matched several opens, with ``ambiguous_opens``, the number matched."""
+
+    def body(histories: DataFrame, _: str | None) -> DataFrame:
+        found = histories.filter("_ambiguous is not null")
+        return found.select(*IDENTITY, F.col("_ambiguous").alias("ambiguous_opens"))
+
+    return _warn_histories(transitions, rules, as_of, profile, body)
+
+
+def _warn_histories(transitions: DataFrame, rules: RuleSet, as_of: datetime | str, profile: Profile | None, body) -> DataFrame:
+    """``body`` over the histories of the states that warn, up to ``as_of``."""
     states = [s for s in rules.states if s.strategy == WARN and s.close]
     rows = transitions.select(*TRANSITION_COLUMNS).filter(
         (F.col("timestamp") <= F.lit(_instant(as_of))) & F.col("state").isin(*[s.name for s in states])
@@ -444,11 +461,26 @@ def ambiguous_closes(
         profile = profile_transitions(rows, rules)
     closing = _Closing(rules, profile, states)
 
-    def body(part: DataFrame, slice_col: str | None) -> DataFrame:
-        found = _histories(part, closing, slice_col).filter("_ambiguous is not null")
-        return found.select(*IDENTITY, F.col("_ambiguous").alias("ambiguous_opens"))
+    def run(part: DataFrame, slice_col: str | None) -> DataFrame:
+        return body(_histories(part, closing, slice_col), slice_col)
+
+    return split_scan(rows, "key", profile.hot, run, time_slice(F.col("timestamp"), profile.slice_seconds))
+
+
+def ambiguous_opens(
+    transitions: DataFrame, rules: RuleSet, as_of: datetime | str, profile: Profile | None = None
+) -> DataFrame:
+    """The opens that the first ambiguous close of each key matched, one row each (see ``state_warnings``)."""
+
+    def body(histories: DataFrame, slice_col: str | None) -> DataFrame:
+        first = F.when(F.col("_ambiguous").isNotNull(), F.struct("_pos", "state", *TAG_SLOTS))
+        rows = scan(histories, ["key"], ["_pos"], [Spec("_close", "min", first, "all")], slice_col, chained=True)
+        matched = (F.col("state") == F.col("_close.state")) & (F.col("_pos") < F.col("_close._pos"))
+        for t in TAG_SLOTS:
+            matched &= F.col(f"_close.{t}").isNull() | (F.col(t) == F.col(f"_close.{t}"))
+        return rows.filter(F.col("open") & matched & (F.col("_end") > F.col("_close._pos"))).select(*IDENTITY)
 
-    return split_scan(rows, "key", profile.hot, body, time_slice(F.col("timestamp"), profile.slice_seconds))
+    return _warn_histories(transitions, rules, as_of, profile, body)
 
 
 def state_warnings(

@@ -73,11 +73,11 @@ def tumbling_failures(spark, sf):
 
 @query(f"""WITH {S.FAIL} SELECT date_trunc('hour', ts) AS window_start, dayname(ts) AS day, CAST(hour(ts) AS INTEGER) AS hour,
 CAST(count(DISTINCT event_id) AS INTEGER) AS count,
-array_to_string(list_sort(list(DISTINCT streamid || ':' || eventid)), ' ') AS eventref FROM fail GROUP BY ALL""")
+0 AS part, array_to_string(list_sort(list(DISTINCT streamid || ':' || eventid)), ' ') AS eventref FROM fail GROUP BY ALL""")
 def failure_eventrefs(spark, sf):
-    refs = counts.hourly_event_refs(_failures(spark, sf), refs_per_row=100_000)
+    refs = counts.hourly_event_refs(_failures(spark, sf))
     text = F.array_join(F.array_sort("eventref"), " ").alias("eventref")
-    return refs.select(F.col("window.start").alias("window_start"), "day", "hour", "count", text)
+    return refs.select(F.col("window.start").alias("window_start"), "day", "hour", "count", "part", text)
 
 
 @query(f"""WITH {S.FAIL}, w AS (
@@ -257,6 +257,19 @@ def state_warnings(spark, sf):
     )
 
 
+@query(f"""WITH {S.tr()} {S.WARN_SPANS},
+ambiguous AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.key ORDER BY c.ts, c.event_id) AS nr
+  FROM seen c JOIN stuck k USING (key, state, tag1) WHERE NOT c.open AND c.ts > k.since),
+ranked AS (SELECT o.*, a.ts AS closed, k.nth FROM ambiguous a JOIN seen o USING (key, state, tag1)
+  JOIN stuck k USING (key, state, tag1) WHERE a.nr = 1 AND o.open AND o.ts < a.ts)
+SELECT key, ts AS opened_at, state, tag1, eventid, streamid FROM ranked WHERE opens >= nth - 1""")
+def state_warning_opens(spark, sf):
+    rules = tables.monitor_rules("warn")
+    found = sm.ambiguous_opens(tables.stored_transitions(spark, sf, rules), rules, AS_OF)
+    return _opened(found).drop("tag2")
+
+
 def _judged(as_of: str) -> str:
     return f"""SELECT o.* FROM tr o WHERE o.state = 'mainframe' AND o.open AND o.ts + INTERVAL 3 DAY < {as_of}
   AND {S.NOTHING_OPEN_CLOSE}"""
@@ -406,16 +419,17 @@ def accelerated_batches(spark, sf):
   SELECT date_trunc('hour', ts) AS window_start, dayname(ts) AS day, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS count,
          array_to_string(list_sort(list(streamid || ':' || eventid)), ' ') AS eventref FROM fail GROUP BY ALL),
 m AS (SELECT *, avg(count) OVER (PARTITION BY day, hour) AS prediction FROM h)
-SELECT window_start, count, round(prediction, 6) AS prediction, eventref FROM m WHERE count > prediction * 1.5 AND count > 5""")
+SELECT window_start, count, round(prediction, 6) AS prediction, 0 AS part, eventref FROM m WHERE count > prediction * 1.5 AND count > 5""")
 def failure_outliers_baseline(spark, sf):
     failures = _failures(spark, sf)
     hourly = counts.tumbling_counts(normalise.dedup_events(failures))
     found = outliers.outliers(outliers.predict_mean(hourly, outliers.mean_per_hour_of_week(hourly)), 1.5, 5)
-    named = detector.with_event_refs(found, failures, refs_per_row=100_000)
+    named = detector.with_event_refs(found, failures)
     return named.select(
         F.col("window.start").alias("window_start"),
         "count",
         F.round("prediction", 6).alias("prediction"),
+        "part",
         F.array_join(F.array_sort("eventref"), " ").alias("eventref"),
     )
 

@@ -20,8 +20,8 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table as a stream of files."""
-    return spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The same table as a stream. A glob is accepted whether the table is one file or a folder of files."""
+    return spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/[e]vents.parquet")
 
 
 def as_events(raw: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+MANY_RESULTS = 1000
 MESSAGE_SCHEMA = "key string, value string, headers array<struct<key: string, value: binary>>"
 
 
@@ -95,7 +96,21 @@ def select_events(
         rows = rows.filter(F.col("date") <= F.lit(before[:10]).cast("date")) if dated else rows
     if description is not None:
         rows = rows.filter(F.col(kind) == description)
-    return rows if max_results is None else rows.orderBy(time, *ties).limit(max_results)
+    if max_results is None:
+        return rows
+    if max_results > MANY_RESULTS:
+        rows = _until_enough(rows, time, max_results)
+    return rows.orderBy(time, *ties).limit(max_results)
+
+
+def _until_enough(rows: DataFrame, time: str, wanted: int) -> DataFrame:
+    """Drop the hours that cannot hold the earliest ``wanted`` rows. Every task of a sorted limit keeps that many rows
+    and passes them to one last task; after this only the hours that matter get there. One job counts rows per hour."""
+    hour = F.substring(time, 1, 13)
+    per_hour = rows.groupBy(hour.alias("hour")).count()
+    upto = F.sum("count").over(Window.orderBy("hour"))
+    last = per_hour.withColumn("upto", upto).filter(F.col("upto") >= wanted).agg(F.min("hour")).first()[0]
+    return rows if last is None else rows.filter(F.col(time) < F.lit(last + "~"))
 
 
 def read_stream(

@@ -48,7 +48,7 @@ def replay(history, rules, now, last_run=None, judged=()):
             hits = [o for o in opened if o["state"] == t["state"] and has_all_tags(t, o)]
             if len(hits) > 1 and state.strategy == "warn":
                 if warned is None and t["timestamp"] <= now:
-                    warned = (identity(t), len(hits))
+                    warned = (identity(t), sorted((identity(h) for h in hits), key=repr))
                 continue
             if state.strategy == "pop":
                 hits = hits[:1]

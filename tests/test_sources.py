@@ -72,6 +72,15 @@ def test_stored_events_push_down(spark, tmp_path):
         assert pushed in plan
 
 
+def test_many_results(spark):
+    rows = spark.range(5000).select(
+        F.date_format(F.timestamp_seconds(1704067200 + F.pmod(F.col("id") * 7919, F.lit(5000)) * 60), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("idxEventTime"),
+        F.lit("a").alias("idxDescription"), F.col("id").cast("string").alias("json"))
+    every = sorted(r.idxEventTime for r in rows.collect())
+    for n in (1500, 4999, 5000, 9000):
+        assert [r.idxEventTime for r in readers.select_events(rows, max_results=n).collect()] == every[:n]
+
+
 def test_schema_file(spark, tmp_path):
     df = spark.createDataFrame([('{"b": {"c": "x"}, "a": 1}',), (None,), ('{"a": 2.5}',)], "json string")
     schema = discover_schema(df)
