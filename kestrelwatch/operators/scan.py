@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kestrelwatch.session import materialise
 
@@ -110,11 +111,22 @@ class HotKeys:
     def __bool__(self) -> bool:
         return bool(self.values) or self.null_key
 
-    def test(self, key: Column) -> Column:
-        inside = F.coalesce(key.isin(*self.values), F.lit(False)) if self.values else F.lit(False)
-        return inside | key.isNull() if self.null_key else inside
-
-
+    def split(self, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """The rows of ordinary keys and those of hot keys."""
+        if len(self.values) > MAX_LITERALS:
+            spark, kind = df.sparkSession, df.schema[key].dataType
+            known = spark.createDataFrame([(v,) for v in self.values], T.StructType([T.StructField("_hot", kind)]))
+            marked = df.join(F.broadcast(known), F.col(key) == F.col("_hot"), "left")
+            listed = F.col("_hot").isNotNull()
+        else:
+            marked = df
+            listed = F.coalesce(F.col(key).isin(*self.values), F.lit(False)) if self.values else F.lit(False)
+        hot = listed | F.col(key).isNull() if self.null_key else listed
+        return marked.filter(~hot).select(*df.columns), marked.filter(hot).select(*df.columns)
+
+
+# Up to this many hot keys are written into the plan; more are broadcast as a table.
+MAX_LITERALS = 500
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_SLICE_SECONDS = 60
 
@@ -136,9 +148,8 @@ def split_scan(
     """Run ``body(rows, slice_col)`` on ordinary keys in one slice each and on hot keys in many, and put both together."""
     if not hot:
         return body(df, None)
-    cold_part = body(df.filter(~hot.test(F.col(key))), None)
-    hot_part = body(df.filter(hot.test(F.col(key))).withColumn("_slice", slice_value), "_slice")
-    return cold_part.unionByName(hot_part)
+    ordinary, heavy = hot.split(df, key)
+    return body(ordinary, None).unionByName(body(heavy.withColumn("_slice", slice_value), "_slice"))
 
 
 def time_slice(ts: Column, seconds: int = DEFAULT_SLICE_SECONDS) -> Column:

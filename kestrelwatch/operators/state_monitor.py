@@ -347,13 +347,14 @@ def _entries(rules: RuleSet, profile: Profile) -> Column:
         for turn, need in enumerate(s.open.requires):
             here = F.col("_probe") & is_open & (F.col("state") == s.name)
             out.append(entry(need, F.lit(turn), _mask_of_row(), [F.col(t) for t in TAG_SLOTS], none, here))
-    return F.filter(F.array(*out), lambda e: e.isNotNull())
+    return F.array(*out)
 
 
 def _missing(histories: DataFrame, rules: RuleSet, profile: Profile, probe: Column, slice_col: str | None) -> DataFrame:
     """Openings for which a required state is not open, one row per opening and missing state."""
     keep = [*IDENTITY, *([slice_col] if slice_col else []), "_pos"]
     found = histories.withColumn("_probe", probe).select(*keep, F.inline(_entries(rules, profile)))
+    found = found.filter("_need is not null")
     group = ["key", "_need", "_mask", "_g0", "_g1", "_g2"]
     # At equal positions the opening itself comes before its own look-up: a state satisfies a requirement on itself.
     found = found.withColumn("_looks", F.col("_turn").isNotNull())

@@ -18,11 +18,13 @@ from kestrelwatch.operators.scan import broadcast_if_small
 FAILURE = "Authentication Failure"
 
 
-def failure_counts(events: DataFrame, wanted: str = FAILURE, within: str = "30 minutes") -> DataFrame:
+def failure_counts(
+    events: DataFrame, wanted: str = FAILURE, within: str = "30 minutes", spread: int = 1
+) -> DataFrame:
     """Failures per hour. The kind is filtered first, so only failures reach the de-duplication state; both states are
-    dropped once the watermark has passed them."""
+    dropped once the watermark has passed them. ``spread``: see ``dedup_events``."""
     failures = events.filter(operation() == wanted)
-    return tumbling_counts(dedup_events(failures, within if events.isStreaming else None))
+    return tumbling_counts(dedup_events(failures, within, spread))
 
 
 def with_event_refs(found: DataFrame, events: DataFrame, wanted: str = FAILURE, refs_per_row: int = 1000) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Transitions that arrive are appended to a table; every run judges the part of it that can still matter, with the same
 operator as a batch. A key's history is never held in one task's state, so a key with a large share of all events is
-sliced in time as in a batch. The tables, in the shared folder ``store``:
+sliced in time as in a batch. A run reads only the histories of keys for which something can have changed since the run before. The tables, in the
+shared folder ``store``:
 
   transitions/date=../arrival=..   what arrived in which micro-batch
   judged/run=..                    openings judged in a run, with or without an alert
@@ -19,14 +20,15 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kestrelwatch.operators.scan import DEFAULT_HOT_ROWS
+from kestrelwatch.operators.scan import DEFAULT_HOT_ROWS, broadcast_if_small
 from kestrelwatch.operators.state_monitor import TRANSITION_COLUMNS, judge, profile_transitions, state_warnings
 from kestrelwatch.operators.transitions import map_transitions
 from kestrelwatch.rules import RuleSet
+from kestrelwatch.session import materialise
 
 _TRANSITIONS = "key string, timestamp timestamp, state string, open boolean, tag1 string, tag2 string, tag3 string, eventid string, streamid string"
 _IDS = "key string, timestamp timestamp, state string, tag1 string, tag2 string, tag3 string, eventid string, streamid string"
@@ -81,18 +83,35 @@ class MonitorStore:
             return None
         return Run(found["run"], datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=found["at"]), found["arrival"])
 
-    def transitions(self, rules: RuleSet, last: Run | None, arrival: int) -> DataFrame:
-        """What arrived since the last run, and of the rest what is not older than the rule set's horizon."""
+    def transitions(self, rules: RuleSet, last: Run | None, arrival: int, as_of: datetime) -> DataFrame:
+        """What a run has to look at: of what arrived since the last run, and of the rest what is not older than the
+        rule set's horizon, the keys with something due."""
         rows = self._table("transitions", _TRANSITIONS + ", date date, arrival long")
         if rows is None:
             return self.spark.createDataFrame([], _TRANSITIONS)
         rows = rows.filter(F.col("arrival") <= arrival)
-        if last is not None:
-            since = last.as_of - rules.horizon
-            new = F.col("arrival") > last.arrival
-            # The first condition prunes folders, the second row groups.
-            rows = rows.filter(new | (F.col("date") >= F.lit(since.date()))).filter(new | (F.col("timestamp") >= F.lit(since)))
-        return rows.select(*TRANSITION_COLUMNS)
+        if last is None:
+            return rows.select(*TRANSITION_COLUMNS)
+        since = last.as_of - rules.horizon
+        new = F.col("arrival") > last.arrival
+        # The first condition prunes folders, the second row groups.
+        rows = rows.filter(new | (F.col("date") >= F.lit(since.date()))).filter(new | (F.col("timestamp") >= F.lit(since)))
+        due = rows.filter(new | self._due(rules, last.as_of, as_of)).select(F.col("key").alias("_key")).distinct()
+        found = rows.join(broadcast_if_small(due), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+        return materialise(found.select(*TRANSITION_COLUMNS), "due")
+
+    @staticmethod
+    def _due(rules: RuleSet, last_run: datetime, as_of: datetime) -> Column:
+        """Openings that may alert now: a latency has passed since the last run. Where an opening has several
+        requirements, also those that have not all passed, as an earlier miss of one rules out the others. And
+        transitions that were still in the future at the last run."""
+        ts = F.col("timestamp")
+        out = (ts > F.lit(last_run)) & (ts <= F.lit(as_of))
+        for s in rules.requiring:
+            waits = [rules.state(r).max_latency for r in s.open.requires]
+            span = (ts >= F.lit(last_run - max(waits))) & (ts <= F.lit(as_of - min(waits)))
+            out |= F.col("open") & (F.col("state") == s.name) & span
+        return out
 
     def judged(self, rules: RuleSet, last: Run | None) -> DataFrame | None:
         rows = self._table("judged", _IDS + ", required_state string, emitted boolean, run int") if last else None
@@ -110,7 +129,7 @@ class MonitorStore:
         """Judge what is due at ``as_of``. Returns the openings to alert on and the new warnings, both as written."""
         last = self.last_run(before=arrival)
         number = last.number + 1 if last else 0
-        rows = self.transitions(rules, last, arrival)
+        rows = self.transitions(rules, last, arrival, as_of)
         profile = profile_transitions(rows, rules, hot_rows)
         found = judge(rows, rules, as_of, last.as_of if last else None, self.judged(rules, last), profile)
         found.write.mode("overwrite").parquet(f"{self.path}/judged/run={number}")

@@ -106,12 +106,15 @@ def test_scan_equals_window(spark, slices):
                 assert got[i][f"{a}_{name}"] == (f(values) if values else None)
 
 
-def test_hot_keys(spark):
-    df = spark.createDataFrame([("a",)] * 10 + [(None,)] * 8 + [("b",)] * 3, "key string")
+@pytest.mark.parametrize("literals", [500, 0])
+def test_hot_keys(spark, monkeypatch, literals):
+    monkeypatch.setattr(scan, "MAX_LITERALS", literals)
+    df = spark.createDataFrame([("a", 1)] * 10 + [(None, 2)] * 8 + [("b", 3)] * 3, "key string, n int")
     hot = scan.hot_keys(df, "key", 5)
     assert hot.values == ("a",) and hot.null_key
-    parts = df.groupBy(hot.test(F.col("key")).alias("hot")).count().collect()
-    assert {r.hot: r["count"] for r in parts} == {True: 18, False: 3}
+    assert [sorted({r.n for r in part.collect()}) for part in hot.split(df, "key")] == [[3], [1, 2]]
+    hot = scan.hot_keys(df, "key", 9)
+    assert [part.count() for part in hot.split(df, "key")] == [11, 10]
 
 
 def test_broadcast_if_small(spark):

@@ -60,6 +60,14 @@ def test_dedup_needs_a_bound(spark, tmp_path):
         normalise.dedup_events(stream(spark, str(tmp_path / "in")))
 
 
+def test_spread_dedup(spark, tmp_path):
+    copies = [event(1, T0, "u", "vpn", "Login")] * 200 + [event(2, T0, "u", "vpn", "Login")] + [("u", '{"EventTime": {"TimeCreated": "2024-01-01T00:00:00Z"}}')] * 50
+    write(spark, str(tmp_path / "in"), copies)
+    rows = normalise.dedup_events(stream(spark, str(tmp_path / "in")), "1 hour", spread=8)
+    writers.run_available(rows, lambda df, i: df.write.mode("overwrite").parquet(f"{tmp_path}/out/b={i}"), str(tmp_path / "cp"))
+    assert sorted(str(r.eventid) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "None"]
+
+
 @pytest.mark.parametrize("mode", ["update", "append"])
 def test_failure_counts(spark, tmp_path, mode):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
