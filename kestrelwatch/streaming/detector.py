@@ -32,11 +32,9 @@ def with_event_refs(found: DataFrame, events: DataFrame, wanted: str = FAILURE,
     part, eventref``. Only failures of those hours are collected, ``refs_per_row`` to a row."""
     hours = broadcast_if_small(found.select("window", "count", "prediction"))
     failures = events.filter(operation() == wanted).select("timestamp", "streamid", "eventid")
-    hits = failures.join(
-        hours.select(F.col("window.start").alias("_start")),
-        F.date_trunc("hour", "timestamp") == F.col("_start"),
-        "left_semi",
-    )
+    starts = hours.select(F.col("window.start").alias("_start"))
+    in_window = failures.withColumn("_window", F.window("timestamp", "1 hour"))
+    hits = in_window.join(starts, F.col("_window.start") == F.col("_start"), "left_semi").drop("_window")
     refs = hourly_event_refs(hits, refs_per_row).select("window", "part", "eventref")
     return refs.join(hours, "window")
 
