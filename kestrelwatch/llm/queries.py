@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelwatch.llm import byte_gru, decontaminate, token_counts, trie_bpe
+from kestrelwatch.llm import byte_gru, chosen_path, decontaminate, token_counts, trie_bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -21,6 +21,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     tokens = trie_bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -68,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op5_ngram_join": op5_ngram_join,
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
     "op10_language_id": op10_language_id,
