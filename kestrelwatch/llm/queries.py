@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelwatch.llm import byte_gru, chosen_path, decontaminate, token_counts, trie_bpe
+from kestrelwatch.llm import byte_gru, chosen_path, decontaminate, tag_ratio, token_counts, trie_bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -64,6 +64,10 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag_ratio.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = byte_gru.predict(docs, byte_gru.train(docs))
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
+    "op8_main_text": op8_main_text,
     "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {"op7_decontamination": OP7_SQL}
