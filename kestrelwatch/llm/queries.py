@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelwatch.llm import byte_gru, chosen_path, decontaminate, tag_ratio, token_counts, trie_bpe
+from kestrelwatch.llm import byte_gru, chosen_path, decontaminate, projection_forest, tag_ratio, token_counts, trie_bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return projection_forest.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -75,6 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op4_token_counts": op4_token_counts,
     "op5_ngram_join": op5_ngram_join,
     "op6_bpe": op6_bpe,
