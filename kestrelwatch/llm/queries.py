@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelwatch.llm import byte_gru, chosen_path, decontaminate, projection_forest, tag_ratio, token_counts, trie_bpe
+from kestrelwatch.llm import byte_gru, chat_snapshots, chosen_path, decontaminate, projection_forest, tag_ratio, token_counts, trie_bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -22,6 +22,24 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_forest.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.maximal_chats(table(spark, sf_dir, "conversations"))
+
+
+OP3_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, CASE WHEN conv_id IS NULL THEN md5(concat_ws('/', turn, role, text)) END AS alone, turn,
+           coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+r AS (SELECT *, '<|im_start|>' || replace(replace(role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || chr(10)
+      || replace(replace(text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10) AS line FROM t),
+c AS (SELECT conv_id, alone, count(*) AS n_turns, string_agg(line, '' ORDER BY turn NULLS FIRST, role, text) AS chat FROM r GROUP BY conv_id, alone),
+b AS (SELECT DISTINCT string_agg(line, '') OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS chat,
+      row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS place,
+      count(*) OVER (PARTITION BY conv_id, alone) AS n FROM r)
+SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, chat FROM c
+WHERE chat NOT IN (SELECT chat FROM b WHERE place < n) GROUP BY n_turns, chat
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -81,6 +99,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
+    "op3_chat": op3_chat,
     "op4_token_counts": op4_token_counts,
     "op5_ngram_join": op5_ngram_join,
     "op6_bpe": op6_bpe,
@@ -88,4 +107,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {"op7_decontamination": OP7_SQL}
+SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op7_decontamination": OP7_SQL}
