@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelwatch.llm import byte_gru, chat_snapshots, chosen_path, decontaminate, projection_forest, tag_ratio, token_counts, trie_bpe
+from kestrelwatch.llm import byte_gru, chat_snapshots, chosen_path, decontaminate, projection_forest, tag_ratio, token_counts, token_shards, trie_bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +92,10 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_ratio.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.shard_digest(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = byte_gru.predict(docs, byte_gru.train(docs))
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_main_text": op8_main_text,
+    "op9_token_shards": op9_token_shards,
     "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op7_decontamination": OP7_SQL}
