@@ -50,9 +50,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BYTE_BPE)
-    tokens = trie_bpe.encode(table(spark, sf_dir, "documents"), path)
-    return trie_bpe.decode(tokens, path).select(
+    return trie_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -9,11 +9,14 @@ share its encoding.
 
 from __future__ import annotations
 
+from array import array
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kestrelwatch.llm import byte_bpe
 from kestrelwatch.llm.arrow import id_and_text, map_batches, raw_texts, slices
@@ -52,7 +55,7 @@ class Neighbours:
         key = (left, right)
         found = self.seen.get(key)
         if found is None:
-            if len(self.seen) > 2_000_000:
+            if len(self.seen) > 500_000:
                 self.seen.clear()
             found = self.seen[key] = self._apart(self.edge(left, 1), self.edge(right, 0))
         return found
@@ -115,7 +118,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts, self.sizes, self.ids = [], [], []
+        self.starts, self.sizes, self.ids = array("q"), array("q"), array("i")
         for word, token in self.special.items():
             self._remember(word, [token])
 
@@ -123,7 +126,7 @@ class Encoder:
         self.known[word] = len(self.starts)
         self.starts.append(len(self.ids))
         self.sizes.append(len(ids))
-        self.ids += ids
+        self.ids.extend(ids)
 
     def learn(self, words: set[str]) -> None:
         token, lengths, seen, apart = self.token.get, self.lengths, self.near.seen.get, self.near.apart
@@ -170,10 +173,10 @@ class Encoder:
         known = self.known
         self.learn(set(chain.from_iterable(cut)).difference(known))
         which = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
-        starts, sizes, ids = (np.array(x, dtype=np.int64) for x in (self.starts, self.sizes, self.ids))
+        starts, sizes, ids = (np.array(x) for x in (self.starts, self.sizes, self.ids))
         flat, ends = gathered(ids, starts[which], sizes[which])
         bounds = np.r_[0, np.cumsum([len(ps) for ps in cut])]
-        return flat.astype(np.int32), np.r_[0, ends][bounds]
+        return flat, np.r_[0, ends][bounds]
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,57 +186,62 @@ def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Speller:
+    """Texts of ids. Ids without a spelling add nothing."""
+
+    def __init__(self, spelled: dict[int, bytes]) -> None:
+        words = [spelled.get(i, b"") for i in range(max(spelled) + 1)] + [b""]
+        self.none = len(words) - 1
+        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(words), dtype=np.uint8)
+
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        found = np.where((ids < 0) | (ids > self.none), self.none, ids)
+        letters, ends = gathered(self.letters, self.starts[found], self.sizes[found])
+        raw, cuts = letters.tobytes(), np.r_[0, ends][bounds].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` (array of int) for every row, as the tokenizers library encodes with the byte-level BPE file at
-    ``path`` without added tokens; strings of special tokens become that token.
+    ``path`` without added tokens; strings of special tokens become that token. With ``decoded`` also the text of these ids,
+    so that a round trip needs no second pass.
 
     Null and empty texts have no ids (an empty array). Null ids and repeated rows are kept; other columns are not read.
     Texts are never cut; a task holds one Arrow batch and at most ``REMEMBERED`` pieces beyond those of one slice.
     """
     tables = docs.sparkSession.sparkContext.broadcast(byte_bpe.load(path))
-    held: dict[str, Encoder] = {}
+    held: dict[str, object] = {}
 
     def run(batch: pa.RecordBatch):
-        encoder = held.get("encoder") or held.setdefault("encoder", Encoder(tables.value))
+        if not held:
+            held.update(encoder=Encoder(tables.value), speller=Speller(tables.value.spelled))
         raw = raw_texts(batch.column(1))
-        for a, b in slices([len(t) for t in raw], 16 << 20):
-            flat, bounds = encoder.encode([t.decode() for t in raw[a:b]])
-            yield batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+        for a, b in slices([len(t) for t in raw]):
+            flat, bounds = held["encoder"].encode([t.decode() for t in raw[a:b]])
+            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
+            yield batch.column(0).slice(a, b - a), ids, *([held["speller"].texts(flat, bounds)] if decoded else [])
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>")
+    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """The rows of ``tokens`` with the text of their ids in ``text_col`` (replaced if it is there), special tokens written
     out. Bytes that are no UTF-8 become U+FFFD; unknown and null ids add nothing; a null array gives null."""
-    from pyspark.sql import functions as F
-
     tables = tokens.sparkSession.sparkContext.broadcast(byte_bpe.load(path).spelled)
-    held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if "table" not in held:
-            spelled = tables.value
-            words = [spelled.get(i, b"") for i in range(max(spelled) + 1)] + [b""]
-            sizes = np.array([len(w) for w in words], dtype=np.int64)
-            held["table"] = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
-        return held["table"]
+    held: dict[str, Speller] = {}
 
     @F.pandas_udf("string")
-    def spell(ids):
-        letters, starts, sizes = table()
-        none, out = len(sizes) - 1, []
-        for row in ids:
+    def spell(rows: pd.Series) -> pd.Series:
+        speller = held.get("speller") or held.setdefault("speller", Speller(tables.value))
+        out = []
+        for row in rows:
             if row is None:
                 out.append(None)
-                continue
-            found = np.asarray(row)
-            if found.dtype == object or found.dtype.kind == "f":
-                found = np.array([none if x is None or x != x else int(x) for x in row], dtype=np.int64)
-            found = np.where((found < 0) | (found > none), none, found).astype(np.int64)
-            out.append(gathered(letters, starts[found], sizes[found])[0].tobytes().decode("utf-8", "replace"))
-        import pandas as pd
-
+            else:
+                ids = np.array([-1 if x is None or x != x else int(x) for x in row], dtype=np.int64)
+                out += speller.texts(ids, np.array([0, len(ids)]))
         return pd.Series(out, dtype=object)
 
     return tokens.withColumn(text_col, spell(F.col(f"`{ids_col}`")))
