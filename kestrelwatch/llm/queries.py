@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrelwatch.llm import byte_gru, chat_snapshots, chosen_path, decontaminate, projection_forest, tag_ratio, token_counts, token_shards, trie_bpe
+from kestrelwatch.llm import byte_gru, chat_snapshots, chosen_path, decontaminate, noise_lm, projection_forest, tag_ratio, token_counts, token_shards, trie_bpe
 
 BYTE_BPE = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,10 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_forest.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.maximal_chats(table(spark, sf_dir, "conversations"))
 
@@ -102,6 +106,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
+    "op2_lm_scores": op2_lm_scores,
     "op3_chat": op3_chat,
     "op4_token_counts": op4_token_counts,
     "op5_ngram_join": op5_ngram_join,
