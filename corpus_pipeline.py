@@ -10,15 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrelwatch.llm import byte_gru, chosen_path, decontaminate, trie_bpe
-from kestrelwatch.session import work_dir
+from kestrelwatch.session import materialise, work_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = "byte_bpe_50k.json"
 
 
+#: Ids up to this many (some 16 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``ids`` (column ``gone``); null ids stay."""
-    return docs.join(ids, docs["doc_id"] == ids["gone"], "left_anti").select(*COLUMNS)
+    """Rows of ``docs`` whose id is not among ``ids`` (column ``gone``); null ids stay. An id stands for all rows that have it."""
+    gone = materialise(ids.distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +36,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of five-word shingles connect (similarity 0.8 or more) the document with the smallest id stays;
     of rows that repeat an id and a text, one."""
-    found = chosen_path.similarity_join(docs)
-    return without(docs, found.where("class_id <> doc_id").select(F.col("doc_id").alias("gone"))).dropDuplicates(["doc_id", "text"])
+    found = materialise(chosen_path.similarity_join(docs), "ngram-classes")
+    kept = without(docs, found.where("class_id <> doc_id").select(F.col("doc_id").alias("gone")))
+    repeated = materialise(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again")), "repeated-ids")
+    if repeated.isEmpty():
+        return kept
+    same = kept["doc_id"] == repeated["again"]
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
