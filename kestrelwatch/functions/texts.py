@@ -22,11 +22,12 @@ def event_ref(stream_id: Column, event_id: Column) -> Column:
 
 
 def ref_stream(ref: Column) -> Column:
-    return F.substring_index(ref, ":", 1)
+    """What stands before the last colon: a stream id can be a path and hold colons itself."""
+    return F.substr(ref, F.lit(1), F.length(ref) - F.length(ref_event(ref)) - F.lit(1))
 
 
 def ref_event(ref: Column) -> Column:
-    return F.substr(ref, F.instr(ref, ":") + F.lit(1))
+    return F.substring_index(ref, ":", -1)
 
 
 def iso_utc(ts: Column, pattern: str = ISO_MILLIS) -> Column:
@@ -34,6 +35,11 @@ def iso_utc(ts: Column, pattern: str = ISO_MILLIS) -> Column:
     return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), pattern)
 
 
+def utc_date(ts: Column) -> Column:
+    """The day of an instant in UTC whatever the session time zone; what tables are partitioned by."""
+    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
+
+
 def iso_now() -> Column:
     return iso_utc(F.current_timestamp())
 

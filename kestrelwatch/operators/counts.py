@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from kestrelwatch.functions.durations import epoch_seconds
 from kestrelwatch.functions.texts import event_ref
 from kestrelwatch.operators.normalise import operation
-from kestrelwatch.operators.scan import broadcast_if_small
 
 TS = "timestamp"
 
@@ -77,27 +76,18 @@ def with_rolling_count(events: DataFrame, by: Sequence[str], seconds: int = 3600
     return joined.drop("second", *[f"_by{i}" for i in range(len(by))])
 
 
-def hourly_event_refs(failures: DataFrame, refs_per_row: int = 1000) -> DataFrame:
-    """The distinct event references of every hour: ``window, day, hour, part, eventref, count``.
+def hourly_event_refs(failures: DataFrame) -> DataFrame:
+    """One row per hour and event in it: ``window, eventref``. On a table or a stream (there without repeats, if the stream
+    is de-duplicated). Events without both ids have no reference."""
+    ref = event_ref(F.col("streamid"), F.col("eventid"))
+    rows = failures.select(F.window(TS, "1 hour").alias("window"), ref.alias("eventref")).filter("eventref is not null")
+    return rows if failures.isStreaming else rows.distinct()
 
-    An hour with more than ``refs_per_row`` events spreads over several rows (``part`` 0, 1, ...), each with at most
-    about that many references, so that no row and no task collects an unbounded set. ``count`` is the size of the row's
-    set. Runs one small job to count the events of each hour.
-    """
-    refs = failures.select(
-        F.window(TS, "1 hour").alias("window"), event_ref(F.col("streamid"), F.col("eventid")).alias("ref")
-    ).filter("ref is not null")
-    parts = F.ceil(F.count(F.lit(1)) / F.lit(refs_per_row)).alias("parts")
-    sizes = refs.groupBy(F.col("window.start").alias("start")).agg(parts)
+
+def hourly_ref_counts(refs: DataFrame) -> DataFrame:
+    """``window, day, hour, count`` from the rows of ``hourly_event_refs``."""
     start = F.col("window.start")
-    return (
-        refs.join(broadcast_if_small(sizes), start == F.col("start"))
-        .withColumn("part", F.pmod(F.xxhash64("ref"), "parts").cast("int"))
-        .groupBy("window", "part")
-        .agg(F.collect_set("ref").alias("eventref"))
-        .select("window", weekday(start).alias("day"), F.hour(start).alias("hour"), "part", "eventref")
-        .withColumn("count", F.size("eventref"))
-    )
+    return refs.groupBy("window").count().select("window", weekday(start).alias("day"), F.hour(start).alias("hour"), "count")
 
 
 def user_operation_counts(view: str) -> str:

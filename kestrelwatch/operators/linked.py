@@ -8,22 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrelwatch.functions.texts import ref_event, ref_stream
-from kestrelwatch.operators.scan import broadcast_if_small
-
-MAX_BROADCAST_REFS = 50_000
 
 
 def linked_events(alerts: DataFrame, events: DataFrame, extra: Column | str | None = None) -> DataFrame:
     """Every (alert, event it references), with the event's columns; ``extra`` is one more condition on the event.
 
-    References and events meet on two plain columns; the filter on the events is applied before the join. Alerts are
-    few as a rule: if their references are, they are broadcast and the events are not shuffled. Runs ``alerts`` once.
+    References and events meet on two plain columns; the filter on the events is applied before the join. Which side is
+    broadcast, if any, is left to Spark, which knows the sizes in bytes.
     """
     refs = alerts.withColumn("_ref", F.explode("eventrefs")).select(
         *alerts.columns, ref_stream(F.col("_ref")).alias("_stream"), ref_event(F.col("_ref")).alias("_event")
     ).drop("eventrefs")
     wanted = events.filter(extra) if extra is not None else events
-    refs = broadcast_if_small(refs, MAX_BROADCAST_REFS)
     joined = refs.join(wanted, (F.col("_stream") == wanted["streamid"]) & (F.col("_event") == wanted["eventid"]))
     return joined.drop("_stream", "_event")
 

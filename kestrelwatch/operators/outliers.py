@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODELS = {"linear": LinearRegressionModel, "logistic": LogisticRegressionModel, "forest": RandomForestRegressionModel}
+MODELS = {"linear": LinearRegressionModel, "logistic": PipelineModel, "forest": RandomForestRegressionModel}
+# Fixed values of the deployed models.
 MAX_ITER, REG_PARAM = 20, 0.001
-MAX_CLASSES = 1000
 
 
 def fit_features(counts: DataFrame, invalid: str = "error") -> PipelineModel:
@@ -30,13 +30,17 @@ def add_features(counts: DataFrame, features: PipelineModel) -> DataFrame:
 
 
 def fit_model(training: DataFrame, kind: str = "logistic"):
-    """``linear``, ``forest``, or ``logistic``, which takes every count as a class and so suits small counts only."""
+    """``linear``, ``forest``, or ``logistic``, which takes every count that occurs as a class of its own. Classes are numbered
+    by rank, so that their number is that of the distinct counts whatever their height."""
     columns = {"featuresCol": "features", "labelCol": "count"}
     if kind == "logistic":
-        most = training.agg(F.max("count")).first()[0]
-        if most is not None and most >= MAX_CLASSES:
-            raise ValueError(f"counts up to {most} are too many classes for logistic regression; use 'linear' or 'forest'")
-        return LogisticRegression(maxIter=MAX_ITER, regParam=REG_PARAM, **columns).fit(training)
+        found = [r["count"] for r in training.select("count").distinct().orderBy("count").collect()]
+        rank = training.sparkSession.createDataFrame([(n, float(i)) for i, n in enumerate(found)], "count long, class double")
+        ranked = training.join(rank, "count").select("features", "class")
+        model = LogisticRegression(maxIter=MAX_ITER, regParam=REG_PARAM, featuresCol="features", labelCol="class", predictionCol="rank").fit(ranked)
+        # The way back: the count of the class that was predicted, as text, and that as a number.
+        back = IndexToString(inputCol="rank", outputCol="counted", labels=[str(n) for n in found])
+        return PipelineModel([model, back, SQLTransformer(statement="SELECT *, CAST(counted AS DOUBLE) AS prediction FROM __THIS__")])
     if kind == "linear":
         return LinearRegression(maxIter=MAX_ITER, regParam=REG_PARAM, **columns).fit(training)
     if kind == "forest":

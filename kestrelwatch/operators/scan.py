@@ -154,12 +154,3 @@ def split_scan(
 
 def time_slice(ts: Column, seconds: int = DEFAULT_SLICE_SECONDS) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A side to broadcast, if it has at most ``max_rows`` rows; otherwise the side as it is, to be joined by a shuffle.
-    Runs ``df`` once; at most ``max_rows + 1`` rows reach the driver."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -16,9 +16,9 @@ from kestrelwatch.operators.scan import hot_keys
 from kestrelwatch.plans import sql as S
 from kestrelwatch.plans import tables
 from kestrelwatch.session import materialise, work_dir
-from kestrelwatch.sources.readers import select_events
+from kestrelwatch.sources.readers import read_events
 from kestrelwatch.sources.schema import discover_schema
-from kestrelwatch.sources.writers import run_available
+from kestrelwatch.sources.writers import run_available, store_events
 from kestrelwatch.streaming import detector, monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,12 +72,20 @@ def tumbling_failures(spark, sf):
 
 
 @query(f"""WITH {S.FAIL} SELECT date_trunc('hour', ts) AS window_start, dayname(ts) AS day, CAST(hour(ts) AS INTEGER) AS hour,
-CAST(count(DISTINCT event_id) AS INTEGER) AS count,
-0 AS part, array_to_string(list_sort(list(DISTINCT streamid || ':' || eventid)), ' ') AS eventref FROM fail GROUP BY ALL""")
+count(DISTINCT event_id) AS count,
+array_to_string(list_sort(list(DISTINCT streamid || ':' || eventid)), ' ') AS eventref FROM fail GROUP BY ALL""")
 def failure_eventrefs(spark, sf):
     refs = counts.hourly_event_refs(_failures(spark, sf))
-    text = F.array_join(F.array_sort("eventref"), " ").alias("eventref")
-    return refs.select(F.col("window.start").alias("window_start"), "day", "hour", "count", "part", text)
+    lists = refs.groupBy("window").agg(F.array_join(F.sort_array(F.collect_list("eventref")), " ").alias("eventref"))
+    return counts.hourly_ref_counts(refs).join(lists, "window").select(
+        F.col("window.start").alias("window_start"), "day", "hour", "count", "eventref"
+    )
+
+
+@query(f"""WITH {S.FAIL} SELECT DISTINCT date_trunc('hour', ts) AS window_start, streamid || ':' || eventid AS eventref FROM fail""")
+def failure_refs(spark, sf):
+    """The child table of hourly counts: one row per hour and event."""
+    return counts.hourly_event_refs(_failures(spark, sf)).select(F.col("window.start").alias("window_start"), "eventref")
 
 
 @query(f"""WITH {S.FAIL}, w AS (
@@ -192,15 +200,16 @@ def unusual_logins(spark, sf):
     return found.select("key", F.col("timestamp").alias("happened_at"), ref)
 
 
-@query(f"""WITH {S.FAIL} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS "idxEventTime", operation AS "idxDescription", eventid
-FROM fail WHERE ts > TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-24' ORDER BY ts, event_id LIMIT 300""")
+@query(f"""WITH {S.FAIL}, t AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(millisecond(ts) % 1000 AS VARCHAR), 3, '0')
+  || 'Z' AS "idxEventTime", operation AS "idxDescription", eventid FROM fail)
+SELECT * FROM t WHERE "idxEventTime" > '2024-01-08T00:00:00.000Z' AND "idxEventTime" < '2024-01-24T00:00:00.000Z'
+ORDER BY "idxEventTime", eventid LIMIT 300""")
 def range_scan_capped(spark, sf):
-    stored = tables.events(spark, sf).select(
-        F.col("Event.EventTime.TimeCreated").alias("idxEventTime"), normalise.operation().alias("idxDescription"), "eventid"
-    )
-    return select_events(
-        stored, "2024-01-08T00:00:00.000000Z", "2024-01-24T00:00:00.000000Z", FAILURE, 300, ties=["eventid"]
-    )
+    path = work_dir(spark, "stored-events")
+    store_events(tables.events(spark, sf), path)
+    event_id = F.get_json_object("json", "$.EventId")
+    found = read_events(spark, path, "2024-01-08T00:00:00.000Z", "2024-01-24T00:00:00.000Z", FAILURE, 300, ties=[event_id])
+    return found.select("idxEventTime", "idxDescription", event_id.alias("eventid"))
 
 
 @query(f"""WITH {S.tr("device")} SELECT key, ts AS happened_at, state, open, tag1, tag2, eventid, streamid FROM tr""")
@@ -361,7 +370,7 @@ def linked_events(spark, sf):
 
 
 @query(f"""WITH m AS ({S.MISSING_CLOSE}), {S.EV},
-truth AS (SELECT key, ts FROM ev WHERE operation = 'Authentication Failure' AND value > 20),
+truth AS (SELECT key, ts FROM ev WHERE operation = 'Authentication Failure'),
 a AS (SELECT EXISTS (SELECT 1 FROM truth t WHERE t.key = m.key AND abs(date_diff('microsecond', t.ts, m.opened_at)) <= 21600000000) AS hit FROM m),
 t AS (SELECT EXISTS (SELECT 1 FROM m WHERE truth.key = m.key AND abs(date_diff('microsecond', truth.ts, m.opened_at)) <= 21600000000) AS hit FROM truth)
 SELECT tp AS true_positives, fp AS false_positives, ok AS found, fn AS missed,
@@ -371,7 +380,7 @@ FROM (SELECT count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fp FROM a
 def alert_score(spark, sf):
     found = _missing(spark, sf, tables.monitor_rules("close")).select(F.col("key").alias("entity"), "timestamp")
     found = materialise(found, "found")  # scoring reads the alerts twice
-    raw = tables.raw_events(spark, sf).filter("event_type = 'error' and value > 20")
+    raw = tables.raw_events(spark, sf).filter("event_type = 'error'")
     truth = tables.as_events(raw).select(F.col("key").alias("entity"), "timestamp")
     return scoring.score_alerts(found, truth, timedelta(hours=6))
 
@@ -419,7 +428,7 @@ def accelerated_batches(spark, sf):
   SELECT date_trunc('hour', ts) AS window_start, dayname(ts) AS day, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS count,
          array_to_string(list_sort(list(streamid || ':' || eventid)), ' ') AS eventref FROM fail GROUP BY ALL),
 m AS (SELECT *, avg(count) OVER (PARTITION BY day, hour) AS prediction FROM h)
-SELECT window_start, count, round(prediction, 6) AS prediction, 0 AS part, eventref FROM m WHERE count > prediction * 1.5 AND count > 5""")
+SELECT window_start, count, round(prediction, 6) AS prediction, eventref FROM m WHERE count > prediction * 1.5 AND count > 5""")
 def failure_outliers_baseline(spark, sf):
     failures = _failures(spark, sf)
     hourly = counts.tumbling_counts(normalise.dedup_events(failures))
@@ -429,7 +438,6 @@ def failure_outliers_baseline(spark, sf):
         F.col("window.start").alias("window_start"),
         "count",
         F.round("prediction", 6).alias("prediction"),
-        "part",
         F.array_join(F.array_sort("eventref"), " ").alias("eventref"),
     )
 

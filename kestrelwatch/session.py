@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import logging
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-log = logging.getLogger(__name__)
-
 # Settings that help these plans; a value already set in the session is left alone.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -36,9 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="kestrelwatch-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -50,12 +51,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a DataFrame that several later steps read to the shared folder, and read it back. This cuts its lineage
-    in a way that outlives executors. Without a shared folder the steps recompute it."""
-    spark = df.sparkSession
-    try:
-        path = work_dir(spark, purpose)
-    except RuntimeError as unset:
-        log.warning("%s is recomputed by each step that needs it: %s", purpose, unset)
-        return df
+    in a way that outlives executors. Without a shared folder on a cluster this is an error: steps that silently computed
+    it again would double the work with every link of a chain. ``remove`` deletes the copy when its readers are done."""
+    path = work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

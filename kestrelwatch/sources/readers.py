@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-MANY_RESULTS = 1000
+from kestrelwatch.functions.texts import utc_date
+
 MESSAGE_SCHEMA = "key string, value string, headers array<struct<key: string, value: binary>>"
 
 
@@ -29,13 +30,13 @@ def _csv(spark: SparkSession, path: str, schema: StructType, streaming: bool) ->
 
 def read_feed(spark: SparkSession, path: str, objects: Sequence[str] = ("user",), streaming: bool = False) -> DataFrame:
     """Raw lines ``time, operation, object[, object]`` without a header, as ``timestamp, operation, <objects>, file,
-    block``. ``objects`` is e.g. ``("user", "device")``. ``block`` is where the row's part of the file starts."""
+    block``. ``file`` is the whole path: files of one name in two folders are two feeds. ``objects`` is e.g. ``("user", "device")``. ``block`` is where the row's part of the file starts."""
     raw = _csv(spark, path, _texts("time", "operation", *objects), streaming)
     return raw.select(
         F.try_to_timestamp(F.col("time")).alias("timestamp"),
         "operation",
         *objects,
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
     )
 
@@ -70,10 +71,11 @@ def read_events(
     before: str | None = None,
     description: str | None = None,
     max_results: int | None = None,
+    ties: Sequence[str | Column] = (),
 ) -> DataFrame:
     """Stored events (see ``store_events``) strictly between two times and of one kind. All conditions reach the scan,
     and the days outside the range are not read. ``max_results`` keeps the earliest."""
-    return select_events(spark.read.parquet(path), after, before, description, max_results)
+    return select_events(spark.read.parquet(path), after, before, description, max_results, ties=ties)
 
 
 def select_events(
@@ -84,33 +86,38 @@ def select_events(
     max_results: int | None = None,
     time: str = "idxEventTime",
     kind: str = "idxDescription",
-    ties: Sequence[str] = (),
+    ties: Sequence[str | Column] = (),
 ) -> DataFrame:
+    """``time`` is a timestamp, or ISO text in UTC as ``store_events`` writes it. A column ``date`` is the day in UTC and prunes
+    folders. Of equal times, ``ties`` decide which rows are the earliest ``max_results``."""
     rows = stored
     dated = "date" in stored.columns
+    texts = dict(stored.dtypes)[time] == "string"
+
+    def bound(value: str) -> Column:
+        return F.lit(value) if texts else F.lit(value).cast("timestamp")
+
     if after is not None:
-        rows = rows.filter(F.col(time) > F.lit(after))
-        rows = rows.filter(F.col("date") >= F.lit(after[:10]).cast("date")) if dated else rows
+        rows = rows.filter(F.col(time) > bound(after))
+        rows = rows.filter(F.col("date") >= utc_date(F.lit(after).cast("timestamp"))) if dated else rows
     if before is not None:
-        rows = rows.filter(F.col(time) < F.lit(before))
-        rows = rows.filter(F.col("date") <= F.lit(before[:10]).cast("date")) if dated else rows
+        rows = rows.filter(F.col(time) < bound(before))
+        rows = rows.filter(F.col("date") <= utc_date(F.lit(before).cast("timestamp"))) if dated else rows
     if description is not None:
         rows = rows.filter(F.col(kind) == description)
     if max_results is None:
         return rows
-    if max_results > MANY_RESULTS:
-        rows = _until_enough(rows, time, max_results)
-    return rows.orderBy(time, *ties).limit(max_results)
+    return _until_enough(rows, time, max_results).orderBy(time, *ties).limit(max_results)
 
 
 def _until_enough(rows: DataFrame, time: str, wanted: int) -> DataFrame:
-    """Drop the hours that cannot hold the earliest ``wanted`` rows. Every task of a sorted limit keeps that many rows
-    and passes them to one last task; after this only the hours that matter get there. One job counts rows per hour."""
-    hour = F.substring(time, 1, 13)
-    per_hour = rows.groupBy(hour.alias("hour")).count()
-    upto = F.sum("count").over(Window.orderBy("hour"))
-    last = per_hour.withColumn("upto", upto).filter(F.col("upto") >= wanted).agg(F.min("hour")).first()[0]
-    return rows if last is None else rows.filter(F.col(time) < F.lit(last + "~"))
+    """Drop the hours that cannot hold the earliest ``wanted`` rows, so that only rows of the hours that matter are sorted
+    in the end. The counts per hour, one row per hour, are summed up in time order."""
+    when = F.col(time).try_cast("timestamp")
+    per_hour = rows.groupBy(F.date_trunc("hour", when).alias("hour")).count()
+    earlier = F.coalesce(F.sum("count").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = per_hour.withColumn("earlier", earlier).filter(F.col("earlier") < wanted).agg(F.max("hour").alias("hour")).first()["hour"]
+    return rows if last is None else rows.filter((F.date_trunc("hour", when) <= F.lit(last)) | when.isNull())
 
 
 def read_stream(

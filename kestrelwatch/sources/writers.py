@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kestrelwatch.functions.texts import iso_utc
+from kestrelwatch.functions.texts import iso_utc, utc_date
 from kestrelwatch.operators.alerts import alert_lines
 from kestrelwatch.operators.normalise import operation
 
@@ -55,7 +55,7 @@ def store_events(events: DataFrame, path: str) -> None:
         F.to_json("Event").alias("json"),
         iso_utc(F.col("timestamp")).alias("idxEventTime"),
         operation().alias("idxDescription"),
-        F.to_date("timestamp").alias("date"),
+        utc_date(F.col("timestamp")).alias("date"),
     )
     rows.sortWithinPartitions("date", "idxEventTime").write.mode("append").partitionBy("date").parquet(path)
 

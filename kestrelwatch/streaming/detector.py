@@ -12,7 +12,6 @@ from kestrelwatch.operators.alerts import rate_alerts
 from kestrelwatch.operators.counts import hourly_event_refs, tumbling_counts, user_operation_counts
 from kestrelwatch.operators.normalise import dedup_events, operation, user
 from kestrelwatch.operators.outliers import outliers, predict
-from kestrelwatch.operators.scan import broadcast_if_small
 
 # Fixed value: the event kind the detector counts.
 FAILURE = "Authentication Failure"
@@ -27,24 +26,29 @@ def failure_counts(
     return tumbling_counts(dedup_events(failures, within, spread))
 
 
-def with_event_refs(found: DataFrame, events: DataFrame, wanted: str = FAILURE, refs_per_row: int = 1000) -> DataFrame:
-    """Outlier hours with the references of their failures, looked up in stored events: ``window, count, prediction,
-    part, eventref``. Only failures of those hours are collected, ``refs_per_row`` to a row."""
-    hours = broadcast_if_small(found.select("window", "count", "prediction"))
-    failures = events.filter(operation() == wanted).select("timestamp", "streamid", "eventid")
-    starts = hours.select(F.col("window.start").alias("_start"))
-    in_window = failures.withColumn("_window", F.window("timestamp", "1 hour"))
-    hits = in_window.join(starts, F.col("_window.start") == F.col("_start"), "left_semi").drop("_window")
-    refs = hourly_event_refs(hits, refs_per_row).select("window", "part", "eventref")
-    return refs.join(hours, "window")
+def event_refs_of(found: DataFrame, events: DataFrame, wanted: str = FAILURE) -> DataFrame:
+    """``window, eventref``: one row per failure of the found hours, looked up in stored events. Only the time between the
+    first and the last of these hours is read; one row with these bounds is what the driver sees."""
+    start, end = F.min("window.start"), F.max("window.end")
+    span = found.agg(F.unix_micros(start).alias("start"), F.unix_micros(end).alias("end")).first()
+    ts = F.col("timestamp")
+    between = (ts >= F.timestamp_micros(F.lit(span["start"]))) & (ts < F.timestamp_micros(F.lit(span["end"])))
+    failures = events.filter(between if span["start"] is not None else F.lit(False)).filter(operation() == wanted)
+    refs = hourly_event_refs(failures.select("timestamp", "streamid", "eventid"))
+    return refs.join(found.select("window").distinct(), "window", "left_semi")
 
 
-def detect(
-    scored: DataFrame, events: DataFrame | None = None, factor: float = 2, floor: int = 10, refs_per_row: int = 1000
-) -> DataFrame:
-    """Alerts for the outliers among scored hours, with event references if ``events`` (a table) is given."""
+def with_event_refs(found: DataFrame, events: DataFrame, wanted: str = FAILURE) -> DataFrame:
+    """The found hours, one row each, with ``eventref``: all references of their failures, as an alert line lists them. Where
+    an hour can have more failures than a line should hold, write ``event_refs_of`` as a table beside the alerts."""
+    refs = event_refs_of(found, events, wanted).groupBy("window").agg(F.sort_array(F.collect_list("eventref")).alias("eventref"))
+    return found.join(refs, "window", "left").withColumn("eventref", F.coalesce("eventref", F.array().cast("array<string>")))
+
+
+def detect(scored: DataFrame, events: DataFrame | None = None, factor: float = 2, floor: int = 10) -> DataFrame:
+    """One alert for every outlier among scored hours, with event references if ``events`` (a table) is given."""
     found = outliers(scored, factor, floor)
-    return rate_alerts(with_event_refs(found, events, refs_per_row=refs_per_row) if events is not None else found)
+    return rate_alerts(with_event_refs(found, events) if events is not None else found)
 
 
 def detect_stream(

@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kestrelwatch.operators.scan import DEFAULT_HOT_ROWS, broadcast_if_small
+from kestrelwatch.functions.texts import utc_date
+from kestrelwatch.operators.scan import DEFAULT_HOT_ROWS
 from kestrelwatch.operators.state_monitor import TRANSITION_COLUMNS, judge, profile_transitions, state_warnings
 from kestrelwatch.operators.transitions import map_transitions
 from kestrelwatch.rules import RuleSet
@@ -58,7 +59,7 @@ class MonitorStore:
 
     def append(self, transitions: DataFrame, arrival: int) -> None:
         rows = transitions.select(*TRANSITION_COLUMNS).withColumns(
-            {"date": F.to_date("timestamp"), "arrival": F.lit(arrival).cast("long")}
+            {"date": utc_date(F.col("timestamp")), "arrival": F.lit(arrival).cast("long")}
         )
         (
             rows.write.mode("overwrite")
@@ -95,9 +96,9 @@ class MonitorStore:
         since = last.as_of - rules.horizon
         new = F.col("arrival") > last.arrival
         # The first condition prunes folders, the second row groups.
-        rows = rows.filter(new | (F.col("date") >= F.lit(since.date()))).filter(new | (F.col("timestamp") >= F.lit(since)))
+        rows = rows.filter(new | (F.col("date") >= F.lit(since.astimezone(timezone.utc).date()))).filter(new | (F.col("timestamp") >= F.lit(since)))
         due = rows.filter(new | self._due(rules, last.as_of, as_of)).select(F.col("key").alias("_key")).distinct()
-        found = rows.join(broadcast_if_small(due), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
+        found = rows.join(due, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
         return materialise(found.select(*TRANSITION_COLUMNS), "due")
 
     @staticmethod

@@ -117,22 +117,17 @@ def test_hot_keys(spark, monkeypatch, literals):
     assert [part.count() for part in hot.split(df, "key")] == [11, 10]
 
 
-def test_broadcast_if_small(spark):
-    df = spark.range(10)
-    assert "Broadcast" in spark.range(100).join(scan.broadcast_if_small(df, 10), "id")._jdf.queryExecution().toString()
-    assert scan.broadcast_if_small(df, 9) is df
-
-
-def test_large_hour_spreads_over_rows(spark):
+def test_large_hour_keeps_its_shape(spark):
+    """An hour of 5000 failures, 4000 of them distinct: one row per event and one hourly row with the full count."""
     rows = spark.range(5000).select(
         F.timestamp_micros(F.lit(1704067200000000) + F.col("id")).alias("timestamp"),
         F.lit("s").alias("streamid"),
         (F.col("id") % 4000).cast("string").alias("eventid"),
     )
-    found = counts.hourly_event_refs(rows, 500).collect()
-    refs = [ref for r in found for ref in r.eventref]
-    assert len(found) == 10 and len(refs) == len(set(refs)) == 4000
-    assert max(r["count"] for r in found) < 600 and {r.day for r in found} == {"Monday"}
+    refs = counts.hourly_event_refs(rows)
+    assert {r.eventref for r in refs.collect()} == {f"s:{i}" for i in range(4000)} and refs.count() == 4000
+    (hour,) = counts.hourly_ref_counts(refs).collect()
+    assert (hour["count"], hour.day, hour.hour) == (4000, "Monday", 0)
 
 
 def test_rolling_counts(spark):
@@ -198,7 +193,7 @@ def test_texts(spark):
         texts.iso_utc(F.lit(datetime(2024, 1, 1, 1, 2, 3, 456789))).alias("iso"),
     ).first()
     assert row.detail == "Unexpectedly High Number of Authentication Failures during hour starting H.  Expected count:5. Actual count:12"
-    assert row.none is None and (row.stream, row.event) == ("1", "2:3")
+    assert row.none is None and (row.stream, row.event) == ("1:2", "3")
     assert row.json == '{"a":"b"}' and row.hidden == "{¬a¬}"
     assert row.iso == "2024-01-01T01:02:03.456Z"
 
@@ -311,19 +306,20 @@ def test_models_find_the_spike(spark, tmp_path, kind):
     outliers.save_models(features, model, str(tmp_path))
     features, model = outliers.load_models(str(tmp_path), kind)
     events = hourly(spark, spike=True)
-    found = detector.detect(outliers.predict(detector.failure_counts(events), features, model), events, refs_per_row=40).collect()
+    found = detector.detect(outliers.predict(detector.failure_counts(events), features, model), events).collect()
     assert {r.title for r in found} == {texts.RATE_TITLE}
     assert {p.value for r in found for p in r.props if p.name == "hour"} == {"2024-01-16 09:00:00"}
-    assert len(found) == 2 and len({ref for r in found for ref in r.eventrefs}) == 5 + 4 + 1 + 60
+    assert len(found) == 1 and len(set(found[0].eventrefs)) == len(found[0].eventrefs) == 5 + 4 + 1 + 60
     error = outliers.errors(counts.training_counts(hourly(spark)), features, model).first()
     assert error.rows == 21 * 24 and error.mean_absolute_error < 4
     assert outliers.residuals(counts.training_counts(hourly(spark)), features, model).count() == 21 * 24
 
 
-def test_too_many_classes(spark):
-    df = spark.createDataFrame([("Monday", 1, 5000)], "day string, hour int, count long")
-    with pytest.raises(ValueError, match="linear"):
-        outliers.train(df, "logistic", invalid="keep")
+def test_high_counts_are_classes(spark):
+    rows = [("Monday", h, 5000 + 1000 * (h % 2)) for h in range(24)] * 3
+    features, model = outliers.train(spark.createDataFrame(rows, "day string, hour int, count long"), "logistic", invalid="keep")
+    hours = spark.createDataFrame(rows[:24], "day string, hour int, count long")
+    assert all(r.prediction == r["count"] for r in outliers.predict(hours, features, model).collect())
 
 
 def test_state_occupancy(spark):

@@ -8,6 +8,7 @@ from kestrelwatch.operators import normalise
 from kestrelwatch.operators.alerts import ALERT_COLUMNS
 from kestrelwatch.session import materialise, shared_dir
 from kestrelwatch.sources import readers, writers
+from kestrelwatch.streaming import monitor
 from kestrelwatch.sources.schema import discover_schema, load_schema, save_schema
 
 ALERTS = "time string, title string, description string, detail string, props array<struct<name:string,value:string>>, eventrefs array<string>"
@@ -27,16 +28,46 @@ def test_feed_lines_are_numbered_across_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == 2002
     for r in rows:
-        if r.file == "VPN.txt":
+        if r.file.endswith("/VPN.txt"):
             assert r.user == f"User{r.line - 1}" and r.device == f"Device{(r.line - 1) % 3}"
-    odd = next(r for r in rows if r.user == "User2" and r.file == "OTHER.txt")
+    odd = next(r for r in rows if r.user == "User2" and r.file.endswith("/OTHER.txt"))
     assert odd.line == 2 and odd.timestamp is None and odd.device is None
-    one = next(r for r in events if r.eventid == "62" and r.streamid == "VPN.txt")
+    one = next(r for r in events if r.eventid == "62" and r.streamid.endswith("/VPN.txt"))
     assert one.key == one.Event.EventSource.User.Id == "User61"
     assert one.Event.EventTime.TimeCreated == "2024-01-01T00:01:01.000000Z"
     assert one.Event.EventSource.System.Environment == "live" and one.timestamp == datetime(2024, 1, 1, 0, 1, 1)
 
 
+def test_feeds_of_one_name_in_two_folders(spark, tmp_path):
+    for folder in ("f1", "f2"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.csv").write_text(f"2024-01-01T00:00:00Z, Login, User{folder}\n")
+    apart = [normalise.normalise_feed(normalise.number_lines(readers.read_feed(spark, str(tmp_path / f))), "VPN") for f in ("f1", "f2")]
+    assert normalise.dedup_events(apart[0].unionByName(apart[1])).count() == 2
+    together = normalise.normalise_feed(normalise.number_lines(readers.read_feed(spark, str(tmp_path / "*"))), "VPN").collect()
+    assert len({r.streamid for r in together}) == 2 and {r.eventid for r in together} == {"1"}
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_days_are_those_of_utc(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        times = ["2024-01-09T00:30:00Z", "2024-01-09T23:30:00Z", "2024-01-08T23:59:00Z", "2024-01-10T00:01:00Z"]
+        events = spark.createDataFrame([("k", t, str(i)) for i, t in enumerate(times)], "key string, t string, eventid string")
+        events = events.select("key", F.col("t").cast("timestamp").alias("timestamp"), normalise.event_struct({"EventId": F.col("eventid")}).alias("Event"))
+        writers.store_events(events, str(tmp_path / "e"))
+        found = readers.read_events(spark, str(tmp_path / "e"), "2024-01-09T00:00:00.000Z", "2024-01-10T00:00:00.000Z")
+        assert sorted(r.idxEventTime[:16] for r in found.collect()) == ["2024-01-09T00:30", "2024-01-09T23:30"]
+        capped = readers.read_events(spark, str(tmp_path / "e"), "2024-01-09T00:00:00.000Z", max_results=1)
+        assert [r.idxEventTime[:16] for r in capped.collect()] == ["2024-01-09T00:30"]
+        rows = events.select("key", "timestamp", F.lit("s").alias("state"), F.lit(True).alias("open"), *[F.lit(None).cast("string").alias(f"tag{i}") for i in (1, 2, 3)], "Event.EventId")
+        monitor.MonitorStore(spark, str(tmp_path / "m")).append(rows.withColumnRenamed("EventId", "eventid").withColumn("streamid", F.lit("x")), 0)
+        days = {p.name for p in (tmp_path / "m" / "transitions").glob("date=*")}
+        assert days == {"date=2024-01-08", "date=2024-01-09", "date=2024-01-10"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_feed_with_users_only(spark, tmp_path):
     (tmp_path / "m.txt").write_text("2024-01-01T00:00:00Z, Authentication Failure, User1\n")
     feed = normalise.number_lines(readers.read_feed(spark, str(tmp_path)))
@@ -91,6 +122,10 @@ def test_schema_file(spark, tmp_path):
     text = open(path).read()
     assert text == json.dumps(json.loads(schema.json()), indent=4, sort_keys=True)
     assert discover_schema(df, sample=1.0) == schema
+    rows = ['{"a": {"b c": 1, "d": [1, 2]}, "x": true}', '{"a": {"d": [2.5], "e": null}, "x": "t"}', "no json", '{"a": null, "z": [{"k": "v"}]}']
+    found = discover_schema(spark.createDataFrame([(r,) for r in rows], "json string"))
+    assert found.simpleString() == "struct<a:struct<b c:bigint,d:array<double>,e:string>,x:string,z:array<struct<k:string>>>"
+    assert discover_schema(df.filter("false")).fields == []
 
 
 def test_alert_batches_replace_themselves(spark, tmp_path):
@@ -152,4 +187,4 @@ def test_feed_as_a_stream(spark, tmp_path):
     feed = readers.read_feed(spark, str(tmp_path / "in"), ("user", "device"), streaming=True)
     writers.run_available(feed, lambda df, i: df.write.mode("overwrite").parquet(f"{tmp_path}/out/b={i}"), str(tmp_path / "cp"))
     row = spark.read.parquet(str(tmp_path / "out")).first()
-    assert (row.user, row.device, row.file, row.timestamp) == ("User1", "Device1", "VPN.txt", datetime(2024, 1, 1))
+    assert (row.user, row.device, row.timestamp) == ("User1", "Device1", datetime(2024, 1, 1)) and row.file.endswith("/VPN.txt")
