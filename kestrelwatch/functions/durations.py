@@ -33,7 +33,7 @@ def parse_duration(text: str) -> timedelta:
 def parse_interval(text: str) -> str:
     """A trigger interval such as ``5 minutes``: a number and a unit, both required."""
     if not re.fullmatch(r"\d+ \w+", text):
-        raise ValueError(f"interval needs a number and a unit, e.g. '150 seconds' or '1 hour', not {text!r}")
+        raise ValueError(f"not a trigger interval such as '5 minutes': {text!r}")
     return text
 
 

@@ -20,6 +20,7 @@ from sorted partitions.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -257,48 +258,102 @@ def _ends(rows: DataFrame, closing: _Closing, slice_col: str | None) -> DataFram
     return rows.select(*columns)
 
 
-def _replay(strategy_of: dict[str, str]):
-    """Row-by-row replay of sorted groups; only the current open set is held."""
-
-    def settle(opened: dict, row: dict) -> tuple[list[dict], int | None]:
-        wanted = {t: row[t] for t in TAG_SLOTS if row[t] is not None}
-        matches = [p for p, o in opened.items() if all(o[t] == v for t, v in wanted.items())]
-        if len(matches) > 1 and strategy_of[row["state"]] == WARN:
-            return [], len(matches)
-        if strategy_of[row["state"]] == POP:
-            matches = matches[:1]
-        return [{**opened.pop(p), "_end": row["_pos"]} for p in matches], None
+class _Openings:
+    """The openings of one group by the values that a close can ask for, so that a close costs the same however many there
+    are. ``masks``: the tags that closes set."""
+
+    def __init__(self, masks: tuple[int, ...], warns: bool) -> None:
+        self.masks, self.warns = masks, warns
+        self.found: dict[tuple, OrderedDict] = {}
+        self.stuck: dict[tuple, int] = {}
+        self.alike: dict[tuple, int] = {}
+
+    def _asked(self, row: dict) -> list[tuple]:
+        return [(m, *(row[t] if m >> i & 1 else None for i, t in enumerate(TAG_SLOTS))) for m in self.masks]
+
+    def open(self, row: dict) -> list[dict]:
+        """Takes an opening; returns those that nothing can close any more. Under ``warn`` these are two that no close can
+        tell apart, and all that come like them: only their number is kept."""
+        asked = tuple(self._asked(row))
+        if self.warns:
+            if asked in self.alike:
+                twin = self.alike[asked]
+                done = [row]
+                if twin is not None:
+                    done.insert(0, self._take(twin, asked))
+                    self.alike[asked] = None
+                for key in asked:
+                    self.stuck[key] = self.stuck.get(key, 0) + len(done)
+                return done
+            self.alike[asked] = row["_pos"]
+        for key in asked:
+            self.found.setdefault(key, OrderedDict())[row["_pos"]] = row
+        return []
+
+    def _take(self, pos: int, asked: tuple) -> dict:
+        row = None
+        for key in asked:
+            row = self.found[key].pop(pos)
+            if not self.found[key]:
+                del self.found[key]
+        return row
+
+    def close(self, row: dict) -> tuple[dict | None, int | None]:
+        """The opening that a close ends, or how many it cannot choose from."""
+        mask = sum(1 << i for i, t in enumerate(TAG_SLOTS) if row[t] is not None)
+        key = (mask, *(row[t] for t in TAG_SLOTS))
+        here = self.found.get(key, ())
+        several = len(here) + self.stuck.get(key, 0)
+        if self.warns and several > 1:
+            return None, several
+        if not here:
+            return None, None
+        first = here[next(iter(here))]
+        asked = tuple(self._asked(first))
+        if self.warns:
+            del self.alike[asked]
+        return self._take(first["_pos"], asked), None
+
+    def left(self) -> list[dict]:
+        return list({pos: row for rows in self.found.values() for pos, row in rows.items()}.values())
+
+
+def _replay(strategy_of: dict[str, str], masks_of: dict[str, tuple[int, ...]]):
+    """Row-by-row replay of sorted groups, a constant number of look-ups per row. Under ``warn`` no more openings are held
+    than there are combinations of tags, under ``pop`` those that are open."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opened: dict[int, dict] = {}
-        current = columns = None
+        opened = current = columns = None
         for batch in batches:
             columns = list(batch.columns)
             done: list[dict] = []
             for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-                if [row[c] for c in _GROUP] != current:
-                    done += opened.values()
-                    opened, current = {}, [row[c] for c in _GROUP]
+                group = [row[c] for c in _GROUP]
+                if group != current:
+                    done += opened.left() if opened else []
+                    opened, current = _Openings(masks_of[row["state"]], strategy_of[row["state"]] == WARN), group
                 if row["open"]:
-                    opened[row["_pos"]] = {**row, "_end": NEVER}
+                    done += opened.open({**row, "_end": NEVER})
                 else:
-                    ended, several = settle(opened, row)
-                    done += [*ended, {**row, "_ambiguous": several}]
+                    ended, several = opened.close(row)
+                    done += [{**ended, "_end": row["_pos"]}] if ended else []
+                    done.append({**row, "_ambiguous": several})
             yield pd.DataFrame(done, columns=columns, dtype=object)
         if opened:
-            yield pd.DataFrame(list(opened.values()), columns=columns, dtype=object)
+            yield pd.DataFrame(opened.left(), columns=columns, dtype=object)
 
     return run
 
 
 def _replayed(rows: DataFrame, closing: _Closing) -> DataFrame:
-    """``_ends`` for groups whose closes differ in the tags they set. Rows stream through in order, so a large group
-    costs time in its task, not memory."""
+    """``_ends`` for groups whose closes differ in the tags they set. Rows stream through in order; the time is linear in a
+    group's rows."""
     columns = [c for c in rows.columns if c not in _GROUP[2:]] + ["_end", "_ambiguous"]
     rows = rows.withColumn("timestamp", F.unix_micros("timestamp"))
     rows = rows.withColumns({c: F.lit(None).cast("long") for c in columns[-2:]}).repartition(*_GROUP)
     done = rows.sortWithinPartitions(*_GROUP, "_pos").mapInPandas(
-        _replay({s.name: s.strategy for s in closing.states}), rows.schema
+        _replay({s.name: s.strategy for s in closing.states}, {s.name: closing.profile.close_masks[s.name] for s in closing.uneven}),
+        rows.schema,
     )
     return done.withColumn("timestamp", F.timestamp_micros("timestamp")).select(*columns)
 

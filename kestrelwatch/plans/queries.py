@@ -121,7 +121,7 @@ def event_count(spark, sf):
 def _feeds(spark, sf):
     raw = tables.raw_events(spark, sf)
     return raw.select(
-        F.when(F.col("event_type").isin("signup", "view"), "VPN").otherwise("MAINFRAME").alias("feed"),
+        F.when(F.col("event_type").isin("signup", "view"), "GATE").otherwise("LEDGER").alias("feed"),
         F.col("event_id").alias("line"),
         F.col("ts").cast("timestamp").alias("timestamp"),
     )
@@ -145,7 +145,7 @@ def deduped_events(spark, sf):
     system, kind = F.col("Event.EventSource.System.Name"), F.col("kind")
     event_type = (
         F.when(kind == FAILURE, "error")
-        .when(system == "VPN", F.when(kind == "Login", "signup").otherwise("view"))
+        .when(system == "GATE", F.when(kind == "Login", "signup").otherwise("view"))
         .otherwise(F.when(kind == "Login", "purchase").otherwise("click"))
     )
     return once.select(
@@ -214,7 +214,7 @@ def range_scan_capped(spark, sf):
 
 @query(f"""WITH {S.tr("device")} SELECT key, ts AS happened_at, state, open, tag1, tag2, eventid, streamid FROM tr""")
 def transitions(spark, sf):
-    rows = tables.transitions(spark, sf, tables.monitor_rules(open_tags=("domain", "device"), mainframe_tags=("domain", "device")))
+    rows = tables.transitions(spark, sf, tables.monitor_rules(open_tags=("domain", "device"), ledger_tags=("domain", "device")))
     return rows.drop("tag3").withColumnRenamed("timestamp", "happened_at")
 
 
@@ -248,6 +248,37 @@ def state_missing_warn(spark, sf):
     return _opened(_missing(spark, sf, tables.monitor_rules("warn")))
 
 
+def _mixed(spark, sf, strategy: str) -> DataFrame:
+    """Closes name the device only where its number is even."""
+    rules = tables.monitor_rules(strategy, ("domain", "device"), ("domain", "device"), ("domain", "device"))
+    odd = ~F.col("open") & F.col("tag2").isin("Device1", "Device3")
+    rows = materialise(tables.transitions(spark, sf, rules).withColumn("tag2", F.when(~odd, F.col("tag2"))), "mixed")
+    return _opened(sm.state_monitor(rows, rules, AS_OF))
+
+
+def _mixed_sql(strategy: str) -> str:
+    named = "CASE WHEN device IN ('Device0', 'Device2') THEN device END"
+    return S.missing(S.tr("device", named) + S.mixed(strategy), S.NOTHING_OPEN_MIXED).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(_mixed_sql("warn"))
+def state_missing_warn_mixed_tags(spark, sf):
+    return _mixed(spark, sf, "warn")
+
+
+@query(_mixed_sql("pop"))
+def state_missing_pop_mixed_tags(spark, sf):
+    return _mixed(spark, sf, "pop")
+
+
+@query(S.missing(S.tr() + S.WARN_SPANS, S.NOTHING_OPEN_WARN))
+def state_missing_warn_sliced(spark, sf):
+    """Every key with more than ten transitions is cut into slices of an hour."""
+    rules = tables.monitor_rules("warn")
+    rows = tables.stored_transitions(spark, sf, rules)
+    return _opened(sm.state_monitor(rows, rules, AS_OF, profile=sm.profile_transitions(rows, rules, 10, 3600)))
+
+
 @query(f"""WITH {S.tr()} {S.WARN_SPANS},
 ambiguous AS (
   SELECT c.*, c.opens - k.nth + 2 AS ambiguous_opens,
@@ -280,15 +311,15 @@ def state_warning_opens(spark, sf):
 
 
 def _judged(as_of: str) -> str:
-    return f"""SELECT o.* FROM tr o WHERE o.state = 'mainframe' AND o.open AND o.ts + INTERVAL 3 DAY < {as_of}
+    return f"""SELECT o.* FROM tr o WHERE o.state = 'ledger' AND o.open AND o.ts + INTERVAL 2 DAY < {as_of}
   AND {S.NOTHING_OPEN_CLOSE}"""
 
 
 @query(f"""WITH {S.tr()},
 later AS ({_judged("TIMESTAMP '2024-01-28 12:00:00'")}),
 earlier AS ({_judged("TIMESTAMP '2024-01-20 12:00:00'")})
-SELECT key, ts AS opened_at, tag1, eventid, streamid, 'vpn' AS required_state,
-  TIMESTAMP '2024-01-28 12:00:00' <= ts + INTERVAL 10 DAY AND TIMESTAMP '2024-01-20 12:00:00' <= ts + INTERVAL 3 DAY AS emitted
+SELECT key, ts AS opened_at, tag1, eventid, streamid, 'gate' AS required_state,
+  TIMESTAMP '2024-01-28 12:00:00' <= ts + INTERVAL 9 DAY AND TIMESTAMP '2024-01-20 12:00:00' <= ts + INTERVAL 2 DAY AS emitted
 FROM later WHERE event_id NOT IN (SELECT event_id FROM earlier)""")
 def state_judged_second_run(spark, sf):
     rules = tables.monitor_rules("close")
@@ -315,7 +346,7 @@ def tag_distinct_limit(spark, sf):
 
 LEVELS = """,
 sums AS (SELECT *, sum(CASE WHEN open THEN 1 ELSE -1 END) OVER (PARTITION BY key, tag1 ORDER BY ts, event_id) AS s
-  FROM tr WHERE state = 'vpn'),
+  FROM tr WHERE state = 'gate'),
 levels AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY key, tag1 ORDER BY ts, event_id)) AS level FROM sums)"""
 
 
@@ -323,7 +354,7 @@ levels AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY key, tag1 ORDER BY t
 SELECT key, ts AS happened_at, open, tag1, eventid, streamid, CAST(level AS BIGINT) AS level FROM levels""")
 def tag_open_levels(spark, sf):
     rows = tables.stored_transitions(spark, sf, tables.monitor_rules())
-    found = tags.open_levels(rows, "vpn", "tag1", hot_keys(rows, "key"))
+    found = tags.open_levels(rows, "gate", "tag1", hot_keys(rows, "key"))
     return found.withColumnRenamed("timestamp", "happened_at")
 
 
@@ -334,7 +365,7 @@ now AS (SELECT key, sum(d) OVER (PARTITION BY key ORDER BY ts, event_id) AS n FR
 SELECT key, CAST(max(n) AS BIGINT) AS concurrent FROM now GROUP BY key""")
 def tag_concurrency(spark, sf):
     rows = tables.stored_transitions(spark, sf, tables.monitor_rules())
-    return tags.concurrent_tags(rows, "vpn", "tag1", hot_keys(rows, "key"))
+    return tags.concurrent_tags(rows, "gate", "tag1", hot_keys(rows, "key"))
 
 
 # ------------------------------------------------------------------------------------------- alerts, linking, scoring
@@ -344,9 +375,9 @@ def _state_alerts(spark, sf) -> DataFrame:
     return al.state_alerts(found, rules, F.lit(AS_OF).cast("timestamp"))
 
 
-@query(f"""WITH m AS ({S.MISSING_CLOSE}) SELECT '2024-01-31T00:00:00.000Z,Unexpected state detected,Required state vpn is missing for '
-|| key || ' while opening state mainframe,,analytic,StateMonitor,config,monitor.yml,key,' || key
-|| ',state,mainframe,requiredState,vpn,domain,' || tag1 || ',eventref,' || streamid || ':' || eventid AS value FROM m""")
+@query(f"""WITH m AS ({S.MISSING_CLOSE}) SELECT '2024-01-31T00:00:00.000Z,Unexpected state detected,Required state gate is missing for '
+|| key || ' while opening state ledger,,analytic,StateMonitor,config,monitor.yml,key,' || key
+|| ',state,ledger,requiredState,gate,domain,' || tag1 || ',eventref,' || streamid || ':' || eventid AS value FROM m""")
 def alert_lines(spark, sf):
     return al.alert_lines(_state_alerts(spark, sf))
 
@@ -406,7 +437,7 @@ def entity_timeline(spark, sf):
         F.col("Event.EventSource.Client.HostName").alias("device"),
         F.col("Event.EventSource.System.Name").alias("system"),
     )
-    feeds = {name: rows.filter(F.col("system") == name).drop("system") for name in ("VPN", "MAINFRAME")}
+    feeds = {name: rows.filter(F.col("system") == name).drop("system") for name in ("GATE", "LEDGER")}
     found = linked.entity_timeline(feeds, "User8")
     return found.select(F.col("timestamp").alias("happened_at"), "operation", "device", "feed")
 

@@ -25,7 +25,7 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_events(raw: DataFrame) -> DataFrame:
-    """signup/view open and close the VPN, purchase/click the mainframe, error is a failed mainframe login. The user is
+    """signup/view open and close the GATE, purchase/click the ledger, error is a failed ledger login. The user is
     recorded in one of two places, the domain and the device come from ``props``."""
     kind = F.col("event_type")
     who = F.concat(F.lit("User"), F.col("user_id"))
@@ -42,7 +42,7 @@ def as_events(raw: DataFrame) -> DataFrame:
         "EventDetail.Authenticate.User.Id": F.when(~even, who),
         "EventId": event_id,
         "EventSource.Client.HostName": F.concat(F.lit("Device"), (k % 4).cast("string")),
-        "EventSource.System.Name": F.when(kind.isin("signup", "view"), "VPN").otherwise("MAINFRAME"),
+        "EventSource.System.Name": F.when(kind.isin("signup", "view"), "GATE").otherwise("LEDGER"),
         "EventSource.System.Environment": F.concat(F.lit("Domain"), (k % 3).cast("string")),
         "EventSource.User.Id": F.when(even, who),
         "EventTime.TimeCreated": iso_utc(ts, ISO_MICROS),
@@ -62,8 +62,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monitor_rules(strategy: str = "warn", open_tags: tuple[str, ...] = ("domain",), close_tags: tuple[str, ...] = ("domain",),
-                  mainframe_tags: tuple[str, ...] = ("domain",)) -> RuleSet:
-    """A mainframe login needs an open VPN session in the same domain."""
+                  ledger_tags: tuple[str, ...] = ("domain",)) -> RuleSet:
+    """A ledger login needs an open GATE session in the same domain."""
     definition = {"domain": "Event.EventSource.System.Environment", "device": "Event.EventSource.Client.HostName"}
 
     def tags(names):
@@ -76,26 +76,26 @@ def monitor_rules(strategy: str = "warn", open_tags: tuple[str, ...] = ("domain"
         {
             "eventId": "Event.EventId",
             "streamId": "Event.StreamId",
-            "alertingDelay": "PT24H",
+            "alertingDelay": "PT6H",
             "tags": {"tag1": "domain", "tag2": "device"},
             "states": [
                 {
-                    "name": "mainframe",
-                    "maxlatency": "PT1H",
+                    "name": "ledger",
+                    "maxlatency": "PT2H",
                     "open": {
-                        "filter": rule("MAINFRAME", "Login"),
-                        "timeout": "P10D",
-                        "requires": ["vpn"],
-                        "tags": tags(mainframe_tags),
+                        "filter": rule("LEDGER", "Login"),
+                        "timeout": "P9D",
+                        "requires": ["gate"],
+                        "tags": tags(ledger_tags),
                     },
-                    "close": {"filter": rule("MAINFRAME", "Logout"), "tags": tags(close_tags)},
+                    "close": {"filter": rule("LEDGER", "Logout"), "tags": tags(close_tags)},
                 },
                 {
-                    "name": "vpn",
-                    "maxlatency": "P3D",
-                    "open": {"filter": rule("VPN", "Login"), "timeout": "PT12H", "tags": tags(open_tags)},
+                    "name": "gate",
+                    "maxlatency": "P2D",
+                    "open": {"filter": rule("GATE", "Login"), "timeout": "PT8H", "tags": tags(open_tags)},
                     "close": {
-                        "filter": rule("VPN", "Logout"),
+                        "filter": rule("GATE", "Logout"),
                         "tags": tags(close_tags),
                         "multipleMatchStrategy": strategy,
                     },

@@ -92,7 +92,7 @@ def _state(spec: dict[str, Any]) -> State:
     close = spec.get("close")
     strategy = (close or {}).get("multipleMatchStrategy") or WARN
     if strategy not in (WARN, POP, CLOSE_ALL):
-        log.error("state %s: multipleMatchStrategy must be one of close, pop or warn; using warn", spec["name"])
+        log.error("state %s has an unknown multipleMatchStrategy; it will warn", spec["name"])
         strategy = WARN
     return State(
         name=spec["name"],
@@ -110,10 +110,10 @@ def rules_from_dict(spec: dict[str, Any], name: str = "rules") -> RuleSet:
         by_name.setdefault(one["name"], _state(one))
     unknown = {r for s in by_name.values() for r in s.open.requires} - set(by_name)
     if unknown:
-        raise ValueError(f"required states are not defined: {sorted(unknown)}")
+        raise ValueError(f"states that are required but missing from the rules: {sorted(unknown)}")
     tags = spec.get("tags") or {}
     if set(tags) - set(TAG_SLOTS):
-        raise ValueError(f"at most three tags are supported: {', '.join(TAG_SLOTS)}")
+        raise ValueError(f"tags must be named by the slots {', '.join(TAG_SLOTS)}")
     return RuleSet(
         name=name,
         states=tuple(by_name.values()),

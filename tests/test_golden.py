@@ -20,16 +20,16 @@ def config(strategy):
         close["multipleMatchStrategy"] = strategy
     return rules_from_dict(
         {
-            "alertingDelay": "PT24H",
+            "alertingDelay": "PT6H",
             "tags": {"tag1": "domain", "tag2": "device"},
             "states": [
                 {
-                    "name": "mainframe",
-                    "maxlatency": "PT1H",
-                    "open": {"filter": "a", "timeout": "P10D", "requires": ["vpn"], "tags": both},
+                    "name": "ledger",
+                    "maxlatency": "PT2H",
+                    "open": {"filter": "a", "timeout": "P10D", "requires": ["gate"], "tags": both},
                     "close": {"filter": "b", "tags": both[:1]},
                 },
-                {"name": "vpn", "maxlatency": "P3D", "open": {"filter": "c", "timeout": "PT12H", "tags": both}, "close": close},
+                {"name": "gate", "maxlatency": "P3D", "open": {"filter": "c", "timeout": "PT8H", "tags": both}, "close": close},
             ],
         }
     )
@@ -38,66 +38,66 @@ def config(strategy):
 # key: lines of "run | state | time | open or close | domain | device". A run number says when the line arrived.
 RUNS = ["2024-03-01T12:00:00Z", "2024-03-03T12:00:00Z", "2024-03-05T12:00:00Z", "2024-03-08T12:00:00Z", "2024-03-09T09:30:00Z", "2024-03-20T12:00:00Z"]
 HISTORIES = {
-    # The second mainframe login comes after the VPN session has ended.
+    # The second ledger login comes after the GATE session has ended.
     "missing": """
-        0 vpn 03-01T08:00:00 open A x
-        0 mainframe 03-01T08:10:00 open A x
-        0 mainframe 03-01T08:20:00 close A -
-        0 vpn 03-01T09:00:00 close A x
-        0 mainframe 03-01T10:00:00 open A x
-        0 mainframe 03-01T10:05:00 close A -""",
-    # The VPN login that covers the mainframe login arrives two runs late, but within its three days.
+        0 gate 03-01T08:00:00 open A x
+        0 ledger 03-01T08:10:00 open A x
+        0 ledger 03-01T08:20:00 close A -
+        0 gate 03-01T09:00:00 close A x
+        0 ledger 03-01T10:00:00 open A x
+        0 ledger 03-01T10:05:00 close A -""",
+    # The GATE login that covers the ledger login arrives two runs late, but within its three days.
     "late": """
-        0 mainframe 03-01T10:00:00 open A x
-        1 mainframe 03-01T10:05:00 close A -
-        1 vpn 03-01T09:00:00 open A x
-        1 vpn 03-01T11:00:00 close A x""",
-    # It arrives after the mainframe login has been judged: one alert, not two.
+        0 ledger 03-01T10:00:00 open A x
+        1 ledger 03-01T10:05:00 close A -
+        1 gate 03-01T09:00:00 open A x
+        1 gate 03-01T11:00:00 close A x""",
+    # It arrives after the ledger login has been judged: one alert, not two.
     "too late": """
-        0 mainframe 03-01T10:00:00 open A x
-        3 vpn 03-01T09:00:00 open A x
-        3 vpn 03-01T11:00:00 close A x""",
-    # The only VPN session is in another domain.
+        0 ledger 03-01T10:00:00 open A x
+        3 gate 03-01T09:00:00 open A x
+        3 gate 03-01T11:00:00 close A x""",
+    # The only GATE session is in another domain.
     "other domain": """
-        1 vpn 03-03T08:00:00 open B x
-        1 mainframe 03-03T08:10:00 open A x
-        1 vpn 03-03T09:00:00 close B x""",
-    # Without tags on the opening any VPN session will do.
+        1 gate 03-03T08:00:00 open B x
+        1 ledger 03-03T08:10:00 open A x
+        1 gate 03-03T09:00:00 close B x""",
+    # Without tags on the opening any GATE session will do.
     "no tags": """
-        1 vpn 03-03T08:00:00 open B x
-        1 mainframe 03-03T08:10:00 open - -
-        1 vpn 03-03T09:00:00 close B x""",
+        1 gate 03-03T08:00:00 open B x
+        1 ledger 03-03T08:10:00 open - -
+        1 gate 03-03T09:00:00 close B x""",
     # Two domains interleaved; each close ends its own.
     "interleaved": """
-        0 vpn 03-01T08:00:00 open A x
-        0 vpn 03-01T08:05:00 open B x
-        0 mainframe 03-01T08:20:00 open A x
-        0 vpn 03-01T08:30:00 close A x
-        0 mainframe 03-01T09:00:00 open B x
-        0 vpn 03-01T09:30:00 close B x""",
+        0 gate 03-01T08:00:00 open A x
+        0 gate 03-01T08:05:00 open B x
+        0 ledger 03-01T08:20:00 open A x
+        0 gate 03-01T08:30:00 close A x
+        0 ledger 03-01T09:00:00 open B x
+        0 gate 03-01T09:30:00 close B x""",
     # Two equal sessions, one close.
     "ambiguous": """
-        0 vpn 03-01T08:00:00 open A x
-        0 vpn 03-01T08:05:00 open A x
-        1 vpn 03-01T09:00:00 close A x
-        1 mainframe 03-01T10:00:00 open A x""",
+        0 gate 03-01T08:00:00 open A x
+        0 gate 03-01T08:05:00 open A x
+        1 gate 03-01T09:00:00 close A x
+        1 ledger 03-01T10:00:00 open A x""",
     # A repeated close and a repeated line change nothing.
     "repeated": """
-        0 vpn 03-01T08:00:00 open A x
-        0 vpn 03-01T08:00:00 open A x
-        0 mainframe 03-01T08:30:00 open A x
-        0 vpn 03-01T09:00:00 close A x
-        1 vpn 03-01T09:00:00 close A x
-        1 vpn 03-01T09:30:00 close A x""",
+        0 gate 03-01T08:00:00 open A x
+        0 gate 03-01T08:00:00 open A x
+        0 ledger 03-01T08:30:00 open A x
+        0 gate 03-01T09:00:00 close A x
+        1 gate 03-01T09:00:00 close A x
+        1 gate 03-01T09:30:00 close A x""",
     # First judged at the last run, more than ten days after it happened: timed out, no alert.
     "timed out": """
-        5 mainframe 03-09T10:00:00 open A x""",
+        5 ledger 03-09T10:00:00 open A x""",
     # Judged at run 5, eleven days after run 4; it happened after run 4 less three days, so it still alerts.
     "long pause": """
-        5 mainframe 03-15T10:00:00 open A x""",
+        5 ledger 03-15T10:00:00 open A x""",
     # Arrives when its three days had already passed at the run before: judged, but no alert.
     "arrives stale": """
-        4 mainframe 03-05T09:00:00 open A x""",
+        4 ledger 03-05T09:00:00 open A x""",
 }
 ALERTS = {
     "warn": {"missing", "too late", "other domain", "long pause"},
@@ -155,9 +155,9 @@ def test_all_missing_requirements(spark):
     rules = rules_from_dict(
         {
             "states": [
-                {"name": "a", "open": {"filter": "x", "requires": ["b", "c"]}, "maxlatency": "PT1H"},
+                {"name": "a", "open": {"filter": "x", "requires": ["b", "c"]}, "maxlatency": "PT2H"},
                 {"name": "b", "open": {"filter": "x"}, "maxlatency": "PT2H"},
-                {"name": "c", "open": {"filter": "x"}, "maxlatency": "PT1H"},
+                {"name": "c", "open": {"filter": "x"}, "maxlatency": "PT2H"},
             ]
         }
     )

@@ -133,3 +133,30 @@ def test_runs_agree_with_loop(spark, tmp_path, strategy, hot_rows):
         assert {r.key for r in warnings.collect()} == keys
         total += len(got)
     assert total > 20
+
+
+@pytest.mark.parametrize("strategy", ["warn", "pop"])
+def test_mixed_closes_take_linear_time(strategy):
+    """One group of 100,000 transitions whose closes set different tags, most of them stuck: seconds, without Spark."""
+    import time
+
+    import pandas as pd
+
+    rng = random.Random(3)
+
+    def rows(n):
+        for i in range(n):
+            is_open = rng.random() < 0.6
+            yield {
+                "key": "k", "state": "gate", "_g0": "d", "_g1": None, "_g2": None, "_pos": i, "open": is_open, "tag1": "d",
+                "tag2": rng.choice(["x", "y", "z"]) if is_open or rng.random() < 0.5 else None, "tag3": None, "_end": None, "_ambiguous": None,
+            }
+
+    seconds = []
+    for n in (20_000, 100_000):
+        frame = pd.DataFrame(list(rows(n)))
+        start = time.process_time()
+        out = pd.concat(sm._replay({"gate": strategy}, {"gate": (1, 3)})(iter([frame[:7], frame[7:]])))
+        seconds.append(time.process_time() - start)
+        assert len(out) == n and out["_pos"].nunique() == n
+    assert seconds[1] < 60 and seconds[1] < 5 * 2.5 * seconds[0]
