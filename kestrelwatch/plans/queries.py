@@ -537,6 +537,19 @@ def stream_failure_counts(spark, sf):
     return _latest(spark, hourly, ["window_start", "day", "hour"], "count", "failures")
 
 
+@query(f"WITH {S.EV} SELECT operation, date_trunc('day', ts) AS date, count(*) AS count FROM ev GROUP BY ALL")
+def stream_daily_counts(spark, sf):
+    """Complete mode: every batch reports the whole sorted table of counts, and the last one stands."""
+    rows = _stream(spark, sf).select(normalise.operation().alias("operation"), F.date_trunc("day", "timestamp").alias("date"))
+    out = work_dir(spark, "daily")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows")
+
+    run_available(rows.groupBy("operation", "date").count().sort("date", "operation"), write, f"{out}/checkpoint", "complete")
+    return spark.read.parquet(f"{out}/rows")
+
+
 @query()
 def stream_failure_outliers(spark, sf):
     """Models from the table, counts and alerts from the stream."""
@@ -557,9 +570,20 @@ def stream_failure_outliers(spark, sf):
     return lines.select(F.regexp_replace("value", "^[^,]*", "").alias("value"))
 
 
-@query(S.missing(S.tr() + S.WARN_SPANS, S.NOTHING_OPEN_WARN, "(SELECT max(ts) FROM events)"))
+RUNS = """,
+reach AS (SELECT min(epoch_us(ts)) AS first, (max(epoch_us(ts)) - min(epoch_us(ts))) // 5 + 1 AS width FROM events),
+ends AS (SELECT max(ts) AS t FROM events, reach GROUP BY (epoch_us(ts) - first) // width),
+runs AS (SELECT t, lag(t) OVER (ORDER BY t) AS before, row_number() OVER (ORDER BY t) AS k FROM ends),
+tr AS (SELECT all_tr.* REPLACE (key || '#' || k AS key) FROM all_tr JOIN runs
+       ON ts <= t AND (before IS NULL OR ts >= before - INTERVAL 102 HOUR))"""
+# Each run looks back from the run before as far as the rule set's horizon, 2 x 2 days and 6 hours, and judges what it could not before.
+RUN_OF = "(SELECT t FROM runs WHERE k = CAST(split_part(o.key, '#', 2) AS INTEGER) AND coalesce(before <= o.ts + INTERVAL 2 DAY, true))"
+EACH_RUN = S.missing(S.tr().replace("tr AS (", "all_tr AS (") + RUNS + S.WARN_SPANS, S.NOTHING_OPEN_WARN, RUN_OF)
+
+
+@query(f"SELECT * REPLACE (split_part(key, '#', 1) AS key) FROM ({EACH_RUN}) x")
 def stream_state_monitor(spark, sf):
-    """The monitor on a stream, judged at the latest event time."""
+    """The monitor on a stream of five parts, each judged at the latest event time so far: what all runs alerted on."""
     out = work_dir(spark, "monitor")
     rules = tables.monitor_rules("warn")
 
