@@ -34,13 +34,17 @@ BLOCKS = frozenset(
 LANDMARKS = frozenset(["article", "main"])
 # Elements that an end tag of an outer element, or their like, closes.
 OPTIONAL = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
-# Words of class, id and role that name what surrounds an article.
+# Words of class, id and role that name what surrounds an article, and those that do so only outside of one.
 ASIDE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|"
-    r"nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side-?bar|footers?|headers?|masthead|topbar|comments?|replies|disqus|responses|share|sharing|social|follow|related|recommended|"
-    r"newsletter|subscribe|subscription|signup|login|search|widgets?|toolbar|pagination|pager|skip-?link|complementary|contentinfo|hidden)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(?:ad(?:s|slot|box|unit|wrap|space|container)?|adverts?|advertisements?|advertising|adsense|adsbygoogle|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|banners?|"
+    r"cookie[a-z]*|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|(?:top|main|sub|side|site|foot)?nav(?:bar|igation|list|menu)?|[a-z]*menus?|breadcrumbs?|"
+    r"side-?bars?|(?:right|left)-?(?:rail|bar)|[a-z]*footers?|colophon|copyright|topbar|comments?|comment-?list|respond|replies|disqus|responses|discussion|share|sharing|social|"
+    r"follow|related|recommended|newsletter|subscribe|subscription|signup|login|search|widgets?|toolbar|pagination|pager|skip-?link|complementary|contentinfo|hidden)(?:$|[^a-z])"
 )
-CONTAINERS = frozenset("div section ul ol dl table p span aside header footer figure li details".split())
+TOP = re.compile(r"(?:^|[^a-z])(?:[a-z]*headers?|masthead)(?:$|[^a-z])")
+# A token that begins like this says something about a neighbour.
+ABOUT_OTHERS = ("has-", "has_", "no-", "no_", "with-", "with_", "without-", "hide-", "show-")
+CONTAINERS = frozenset("div section article ul ol dl table p span aside header footer figure li details".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -68,6 +72,8 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.landmarks = 0
+        self.around: set[int] = set()  # landmarks that are main elements
+        self.parent: dict[int, int] = {}  # the main element around an article
 
     def silent(self) -> bool:
         return bool(self.open) and self.open[-1][1]
@@ -95,13 +101,20 @@ class Lines(HTMLParser):
         if tag in BLOCKS or tag in HIDDEN:
             self.flush()
         inside = self.landmark()
-        named = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role", "aria-label"))
+        tokens = [t for k, v in attrs if v and k in ("class", "id", "role") for t in v.lower().split() if not t.startswith(ABOUT_OTHERS)]
+        named = " ".join(tokens) if tag in CONTAINERS else ""
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "")) for k, v in attrs)
         # A header inside an article holds its title.
-        no = self.silent() or hidden or tag in HIDDEN or (tag == "header" and not inside) or (tag in CONTAINERS and bool(ASIDE.search(named)))
+        no = self.silent() or hidden or tag in HIDDEN or (not inside and (tag == "header" or bool(TOP.search(named)))) or bool(ASIDE.search(named))
         if tag in LANDMARKS and not no:
-            self.landmarks += 1
-            inside = self.landmarks if not inside else inside
+            # The outermost article, or else the main element around.
+            if not inside or (tag == "article" and inside in self.around):
+                self.landmarks += 1
+                if tag == "main":
+                    self.around.add(self.landmarks)
+                elif inside:
+                    self.parent[self.landmarks] = inside
+                inside = self.landmarks
         self.open.append((tag, no, inside))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -164,8 +177,9 @@ def threshold(values: list[float]) -> float:
     return border
 
 
-def content(lines: list[Line]) -> list[Line]:
-    """The lines of the content regions, in page order."""
+def content(lines: list[Line], parent: dict[int, int]) -> list[Line]:
+    """The lines of the content regions, in page order. ``parent``: the main element around an article, whose headings before
+    the article belong to it."""
     ratios = smoothed([0.0 if line.outside else line.ratio for line in lines])
     inner = [r for r, line in zip(ratios, lines, strict=True) if not line.outside]
     # Lines outside take part as what content is to be told from.
@@ -175,10 +189,11 @@ def content(lines: list[Line]) -> list[Line]:
     for yes, line in zip(high, lines, strict=True):
         if yes and line.landmark:
             mass[line.landmark] = mass.get(line.landmark, 0) + len(line.text)
-    loose = sum(len(line.text) for yes, line in zip(high, lines, strict=True) if yes and not line.landmark)
-    if mass and (max(mass.values()) >= loose or sum(mass.values()) > 0):
+    if mass:
         most = max(mass, key=lambda k: (mass[k], -k))
-        return [line for line in lines if line.landmark == most and not line.outside]
+        first = next(i for i, line in enumerate(lines) if line.landmark == most)
+        title = parent.get(most, -1)
+        return [line for i, line in enumerate(lines) if not line.outside and (line.landmark == most or (line.heading and line.landmark == title and i < first))]
     # Without an article element: from the first to the last line of the regions, what lies between belongs to them if it is
     # not outside; a heading right before a region opens it.
     where = [i for i, yes in enumerate(high) if yes]
@@ -197,7 +212,7 @@ def main_text(html: str | None) -> str:
         return ""
     parser = Lines()
     parser.feed(html)
-    return " ".join(line.text for line in content(parser.done()))
+    return " ".join(line.text for line in content(parser.done(), parser.parent))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

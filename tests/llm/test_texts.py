@@ -156,6 +156,13 @@ def test_main_text(around):
     assert tag_ratio.main_text(SITE.format(around.format(BODY))) == TEXT
 
 
+def test_names_that_surround_and_names_that_do_not():
+    body = "<p>" + "Some words of the article stand here, one after the other. " * 3
+    page = '<body><div class="site-header">Site name and motto</div><main><h1>Title</h1><div class="content has-sidebar"><article><div class="entry-header"><h2>Inner</h2></div>'
+    page += body + '</article></div><ul class="commentlist"><li>A comment that is as long as a paragraph of the article, or longer</ul><div class="mainMenu">x</div></main></body>'
+    assert tag_ratio.main_text(page) == " ".join(["Title", "Inner", *["Some words of the article stand here, one after the other."] * 3])
+
+
 def test_odd_pages(spark):
     assert tag_ratio.main_text(None) == tag_ratio.main_text("") == tag_ratio.main_text("<html><body></body></html>") == ""
     assert tag_ratio.main_text("plain text") == "plain text" and tag_ratio.main_text("<p>a &lt;b&gt; &#233;") == "a <b> é"
