@@ -58,6 +58,13 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path; none if it does not exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(where) if f.isDirectory()] if system.exists(where) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever file system it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,17 +7,20 @@ shared folder ``store``:
 
   transitions/date=../arrival=..   what arrived in which micro-batch
   judged/run=..                    openings judged in a run, with or without an alert
-  warned/run=..                    keys warned about
+  warned/run=..                    all keys warned about until then
   log/run=..                       when the run took place and what had arrived; written last
 
-Writing a run or an arrival again replaces it, so a micro-batch that is repeated after a failure changes nothing.
+Writing a run or an arrival again replaces it, so a micro-batch that is repeated after a failure changes nothing. After a
+run, what is older than the horizon of the run before it goes: days of transitions, runs whose openings can no longer
+matter, and all but the last two lists of keys. One run is kept back because its successor may be repeated. So the number
+of folders follows from the horizon and the interval, not from how long the monitor has been running.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +32,7 @@ from kestrelwatch.operators.scan import DEFAULT_HOT_ROWS
 from kestrelwatch.operators.state_monitor import TRANSITION_COLUMNS, judge, profile_transitions, state_warnings
 from kestrelwatch.operators.transitions import map_transitions
 from kestrelwatch.rules import RuleSet
-from kestrelwatch.session import materialise
+from kestrelwatch.session import folders, materialise, remove, work_dir
 
 _TRANSITIONS = "key string, timestamp timestamp, state string, open boolean, tag1 string, tag2 string, tag3 string, eventid string, streamid string"
 _IDS = "key string, timestamp timestamp, state string, tag1 string, tag2 string, tag3 string, eventid string, streamid string"
@@ -99,7 +102,7 @@ class MonitorStore:
         rows = rows.filter(new | (F.col("date") >= F.lit(since.astimezone(timezone.utc).date()))).filter(new | (F.col("timestamp") >= F.lit(since)))
         due = rows.filter(new | self._due(rules, last.as_of, as_of)).select(F.col("key").alias("_key")).distinct()
         found = rows.join(due, F.col("key").eqNullSafe(F.col("_key")), "left_semi")
-        return materialise(found.select(*TRANSITION_COLUMNS), "due")
+        return found.select(*TRANSITION_COLUMNS)
 
     @staticmethod
     def _due(rules: RuleSet, last_run: datetime, as_of: datetime) -> Column:
@@ -122,7 +125,7 @@ class MonitorStore:
 
     def warned(self, last: Run | None) -> DataFrame | None:
         rows = self._table("warned", "key string, run int") if last else None
-        return None if rows is None else rows.filter(F.col("run") <= last.number)
+        return None if rows is None else rows.filter(F.col("run") == last.number)
 
     def run(
         self, rules: RuleSet, as_of: datetime, arrival: int, hot_rows: int = DEFAULT_HOT_ROWS
@@ -130,16 +133,37 @@ class MonitorStore:
         """Judge what is due at ``as_of``. Returns the openings to alert on and the new warnings, both as written."""
         last = self.last_run(before=arrival)
         number = last.number + 1 if last else 0
-        rows = self.transitions(rules, last, arrival, as_of)
+        due = work_dir(self.spark, "due")
+        self.transitions(rules, last, arrival, as_of).write.parquet(due)
+        rows = self.spark.read.schema(_TRANSITIONS).parquet(due)
         profile = profile_transitions(rows, rules, hot_rows)
         found = judge(rows, rules, as_of, last.as_of if last else None, self.judged(rules, last), profile)
         found.write.mode("overwrite").parquet(f"{self.path}/judged/run={number}")
-        warnings = state_warnings(rows, rules, as_of, self.warned(last), profile)
-        warnings.write.mode("overwrite").parquet(f"{self.path}/warned/run={number}")
+        before = self.warned(last)
+        warnings = materialise(state_warnings(rows, rules, as_of, before, profile), "warnings")
+        keys = warnings.select("key") if before is None else warnings.select("key").unionByName(before.select("key"))
+        keys.distinct().write.mode("overwrite").parquet(f"{self.path}/warned/run={number}")
         log = self.spark.range(1).select(F.lit(as_of).alias("as_of"), F.lit(arrival).cast("long").alias("arrival"))
         log.write.mode("overwrite").parquet(f"{self.path}/log/run={number}")
         emitted = self.spark.read.schema(found.schema).parquet(f"{self.path}/judged/run={number}").filter("emitted")
-        return emitted.drop("emitted"), self.spark.read.schema(warnings.schema).parquet(f"{self.path}/warned/run={number}")
+        remove(self.spark, due)
+        if last is not None:
+            self.expire(last, rules.horizon)
+        return emitted.drop("emitted"), warnings
+
+    def expire(self, last: Run, horizon: timedelta) -> None:
+        """Remove what neither the run after ``last`` nor a later one reads."""
+        since = last.as_of - horizon
+        for name in folders(self.spark, f"{self.path}/transitions"):
+            if name.startswith("date=2") and date.fromisoformat(name[5:]) < since.astimezone(timezone.utc).date():
+                remove(self.spark, f"{self.path}/transitions/{name}")
+        log = self._table("log", "as_of timestamp, arrival long, run int")
+        for row in log.filter((F.col("run") < last.number) & (F.col("as_of") < F.lit(since))).select("run").collect():
+            for name in ("judged", "log"):
+                remove(self.spark, f"{self.path}/{name}/run={row['run']}")
+        for name in folders(self.spark, f"{self.path}/warned"):
+            if int(name[4:]) < last.number:
+                remove(self.spark, f"{self.path}/warned/{name}")
 
 
 def wall_clock(_: DataFrame, __: Run | None) -> datetime:

@@ -188,3 +188,27 @@ def test_console(spark, tmp_path):
         query.processAllAvailable()
     finally:
         query.stop()
+
+
+def test_the_store_stops_growing(spark, tmp_path):
+    """A run a day with a horizon of four hours: folders do not pile up, a repeated run changes nothing, keys stay warned about."""
+    import dataclasses
+
+    from kestrelwatch.streaming.monitor import MonitorStore
+
+    rules = dataclasses.replace(RULES, alerting_delay=timedelta(0))
+    store = MonitorStore(spark, str(tmp_path / "store"))
+    columns = "key string, timestamp timestamp, state string, open boolean, tag1 string, tag2 string, tag3 string, eventid string, streamid string"
+    sizes, alerts = [], []
+    for day in range(7):
+        now = T0 + timedelta(days=day)
+        rows = [(f"k{day}", now + timedelta(hours=1), "main", True, "A", None, None, str(day), "s")]
+        store.append(spark.createDataFrame(rows, columns), day)
+        for _ in range(2 if day == 4 else 1):
+            found, _ = store.run(rules, (now + timedelta(hours=20)).astimezone(), day)
+            keys = [r.key for r in found.collect()]
+        alerts.append(keys)
+        sizes.append({name: len(list((tmp_path / "store" / name).glob("*=*"))) for name in ("transitions", "judged", "warned", "log")})
+    assert alerts == [[f"k{day}"] for day in range(7)]
+    assert sizes[3] == sizes[4] == sizes[5] == sizes[6] and max(sizes[6].values()) <= 3
+    assert monitor.folders(spark, str(tmp_path / "none")) == []
