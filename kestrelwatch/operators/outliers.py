@@ -29,7 +29,7 @@ def add_features(counts: DataFrame, features: PipelineModel) -> DataFrame:
     return VectorAssembler(inputCols=["hourVec", "dayVec"], outputCol="features").transform(features.transform(counts))
 
 
-def fit_model(training: DataFrame, kind: str = "logistic"):
+def fit_model(training: DataFrame, kind: str = "logistic", reg_param: float = REG_PARAM):
     """``linear``, ``forest``, or ``logistic``, which takes every count that occurs as a class of its own. Classes are numbered
     by rank, so that their number is that of the distinct counts whatever their height."""
     columns = {"featuresCol": "features", "labelCol": "count"}
@@ -37,24 +37,24 @@ def fit_model(training: DataFrame, kind: str = "logistic"):
         found = [r["count"] for r in training.select("count").distinct().orderBy("count").collect()]
         rank = training.sparkSession.createDataFrame([(n, float(i)) for i, n in enumerate(found)], "count long, class double")
         ranked = training.join(rank, "count").select("features", "class")
-        model = LogisticRegression(maxIter=MAX_ITER, regParam=REG_PARAM, featuresCol="features", labelCol="class", predictionCol="rank").fit(ranked)
+        model = LogisticRegression(maxIter=MAX_ITER, regParam=reg_param, featuresCol="features", labelCol="class", predictionCol="rank").fit(ranked)
         # The way back: the count of the class that was predicted, as text, and that as a number.
         back = IndexToString(inputCol="rank", outputCol="counted", labels=[str(n) for n in found])
         return PipelineModel([model, back, SQLTransformer(statement="SELECT *, CAST(counted AS DOUBLE) AS prediction FROM __THIS__")])
     if kind == "linear":
-        return LinearRegression(maxIter=MAX_ITER, regParam=REG_PARAM, **columns).fit(training)
+        return LinearRegression(maxIter=MAX_ITER, regParam=reg_param, **columns).fit(training)
     if kind == "forest":
         return RandomForestRegressor(seed=0, **columns).fit(training)
     raise ValueError(f"unknown model {kind!r}; use one of {sorted(MODELS)}")
 
 
-def train(counts: DataFrame, kind: str = "logistic", invalid: str = "error"):
+def train(counts: DataFrame, kind: str = "logistic", invalid: str = "error", reg_param: float = REG_PARAM):
     """Fit features and a model on hourly counts (``training_counts``). The counts, one row per hour and operation,
     are cached while the algorithms pass over them."""
     counts = counts.select("day", "hour", "count").persist()
     try:
         features = fit_features(counts, invalid)
-        return features, fit_model(add_features(counts, features).select("features", "count"), kind)
+        return features, fit_model(add_features(counts, features).select("features", "count"), kind, reg_param)
     finally:
         counts.unpersist()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -481,6 +482,53 @@ def _trained(spark, sf, kind):
     return hourly, *outliers.load_models(path, kind)
 
 
+HOURS = f"""{S.FAIL}, h AS (
+  SELECT date_trunc('hour', ts) AS window_start, dayname(ts) AS day, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS count,
+         string_agg(',eventref,' || streamid || ':' || eventid, '' ORDER BY streamid || ':' || eventid) AS refs FROM fail GROUP BY ALL)"""
+
+
+@query(f"""WITH {HOURS},
+d AS (SELECT day, row_number() OVER (ORDER BY count(*) DESC, day) - 1 AS place FROM h GROUP BY day)
+SELECT window_start, count, array_to_string(list_concat(
+  list_transform(range((SELECT max(hour) FROM h)), lambda i: CAST(hour = i AS INTEGER)),
+  list_transform(range((SELECT count(*) - 1 FROM d)), lambda i: CAST(place = i AS INTEGER))), ' ') AS features
+FROM h JOIN d USING (day)""")
+def feature_rows(spark, sf):
+    """One-hot hour, then one-hot weekday numbered by falling frequency; the last of each is all zeros."""
+    hourly = counts.tumbling_counts(normalise.dedup_events(_failures(spark, sf)))
+    found = outliers.add_features(hourly, outliers.fit_features(hourly))
+    numbers = F.transform(vector_to_array("features"), lambda x: x.cast("int").cast("string"))
+    return found.select(F.col("window.start").alias("window_start"), "count", F.array_join(numbers, " ").alias("features"))
+
+
+@query(f"""WITH {HOURS}
+SELECT 'hour' AS part, CAST(hour AS VARCHAR) AS value, count(*) AS rows, round(avg(count), 6) AS mean FROM h GROUP BY hour
+UNION ALL SELECT 'day', day, count(*), round(avg(count), 6) FROM h GROUP BY day""")
+def linear_fit_moments(spark, sf):
+    """A least-squares fit on one-hot columns predicts, on average, what was observed: for every hour and every weekday. These
+    conditions determine the fit."""
+    hourly = counts.tumbling_counts(normalise.dedup_events(_failures(spark, sf)))
+    scored = materialise(outliers.predict(hourly, *outliers.train(hourly, "linear", reg_param=0.0)), "scored")
+    mean = F.round(F.avg("prediction") + F.lit(0.0), 6).alias("mean")
+    parts = [scored.groupBy(F.lit(p).alias("part"), F.col(p).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("rows"), mean) for p in ("hour", "day")]
+    return parts[0].unionByName(parts[1])
+
+
+RATE_TEXT = "Unexpectedly High Number of Authentication Failures during hour starting "
+
+
+@query(f"""WITH {HOURS}, m AS (SELECT *, avg(count) OVER (PARTITION BY day, hour) AS prediction, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS t FROM h)
+SELECT '2024-01-31T00:00:00.000Z,Unexpectedly High Authentication Failures Rate,{RATE_TEXT}' || t || '.,{RATE_TEXT}' || t
+  || '.  Expected count:' || CAST(floor(prediction) AS BIGINT) || '. Actual count:' || count || ',hour,' || t || ',count,' || count
+  || ',prediction,' || prediction || refs AS value FROM m WHERE count > prediction * 1.5 AND count > 5""")
+def rate_alert_lines(spark, sf):
+    """The detector's alert lines, with the mean of the hour of the week in place of a trained model."""
+    hourly = counts.tumbling_counts(normalise.dedup_events(_failures(spark, sf)))
+    scored = outliers.predict_mean(hourly, outliers.mean_per_hour_of_week(hourly))
+    found = outliers.outliers(scored, 1.5, 5)
+    return al.alert_lines(al.rate_alerts(detector.with_event_refs(found, tables.events(spark, sf)), F.lit(AS_OF).cast("timestamp")))
+
+
 @query()
 def failure_outliers_ml(spark, sf):
     """The deployed detector: logistic regression on the hour and weekday."""
