@@ -17,7 +17,7 @@ from kestrelwatch.operators.scan import hot_keys
 from kestrelwatch.plans import sql as S
 from kestrelwatch.plans import tables
 from kestrelwatch.session import materialise, work_dir
-from kestrelwatch.sources.readers import read_events
+from kestrelwatch.sources.readers import read_events, read_feed
 from kestrelwatch.sources.schema import discover_schema
 from kestrelwatch.sources.writers import run_available, store_events
 from kestrelwatch.streaming import detector, monitor
@@ -183,6 +183,32 @@ def json_roundtrip(spark, sf):
     return _columns(normalise.parse_messages(messages, discover_schema(messages, "value")))
 
 
+@query(f"""WITH {S.EV} SELECT key, date_trunc('millisecond', ts) AS happened_at, operation, system, device, CAST(1 AS BIGINT) AS rows_of_id
+FROM ev""")
+def feed_roundtrip(spark, sf):
+    """The events as raw feed files of equal names in two folders, read, numbered and normalised again."""
+    path = work_dir(spark, "feeds")
+    rows = tables.events(spark, sf).select(
+        F.col("Event.EventSource.System.Name").alias("system"),
+        F.concat_ws(", ", texts.iso_utc(F.col("timestamp")), normalise.operation(), "key", "Event.EventSource.Client.HostName").alias("value"),
+    )
+    found = []
+    for system in ("GATE", "LEDGER"):
+        rows.where(F.col("system") == system).select("value").write.text(f"{path}/{system}")
+        feed = normalise.number_lines(read_feed(spark, f"{path}/{system}", ("user", "device")))
+        found.append(normalise.normalise_feed(feed, system))
+    both = found[0].unionByName(found[1])
+    ids = both.groupBy("streamid", "eventid").agg(F.count(F.lit(1)).alias("rows_of_id"))
+    return both.join(ids, ["streamid", "eventid"]).select(
+        "key",
+        F.col("timestamp").alias("happened_at"),
+        normalise.operation().alias("operation"),
+        F.col("Event.EventSource.System.Name").alias("system"),
+        F.col("Event.EventSource.Client.HostName").alias("device"),
+        "rows_of_id",
+    )
+
+
 @query(f"WITH {S.EV} SELECT eventid, system AS idx_system, operation AS idx_description FROM ev")
 def message_headers(spark, sf):
     events = tables.events(spark, sf)
