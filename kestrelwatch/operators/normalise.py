@@ -156,22 +156,25 @@ def normalise_feed(feed: DataFrame, system: str, environment: Column | None = No
 
 
 def dedup_events(events: DataFrame, within: str | None = None, spread: int = 1) -> DataFrame:
-    """One event per (stream id, event id).
+    """One event per (stream id, event id). An event without both ids cannot be told from another and is kept; it gets an
+    identity of its own for the comparison, so that such events do not meet in one task either.
 
     A stream needs ``within``, how far apart copies can arrive, so that its state stays bounded. A table drops copies
-    map-side before it shuffles; a stream cannot, so where one event may be repeated very often, or very many events
-    have no ids, ``spread`` first drops copies in that many places and then what is left of them in one.
+    map-side before it shuffles; a stream cannot, so where one event may be repeated very often,
+    ``spread`` first drops copies in that many places and then what is left of them in one.
     """
-    ids = ["streamid", "eventid"]
+    ids = ["streamid", "eventid", "_own"]
+    unknown = F.col("streamid").isNull() | F.col("eventid").isNull()
+    events = events.withColumn("_own", F.when(unknown, F.expr("uuid()")))
     if not events.isStreaming:
-        return events.dropDuplicates(ids)
+        return events.dropDuplicates(ids).drop("_own")
     if within is None:
         raise ValueError("de-duplicating a stream needs the time within which copies arrive")
     rows = events.withWatermark("timestamp", within)
     if spread > 1:
         salted = rows.withColumn("_salt", F.floor(F.rand() * spread).cast("int"))
         rows = salted.dropDuplicatesWithinWatermark([*ids, "_salt"]).drop("_salt")
-    return rows.dropDuplicatesWithinWatermark(ids)
+    return rows.dropDuplicatesWithinWatermark(ids).drop("_own")
 
 
 def unusual_logins(events: DataFrame, start_hour: int = 8, end_hour: int = 18, workdays: tuple[int, ...] = (2, 3, 4, 5, 6)) -> DataFrame:
