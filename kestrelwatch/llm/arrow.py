@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+# Rows of an Arrow batch, unless the session sets another number than Spark's default: texts are whole and can be long, and
+# a batch is held in the JVM, in the worker and once more as objects.
+BATCH_ROWS = 1000
+_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 # Upper case to lower case for A-Z; every other byte stands for itself.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -38,7 +44,7 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 class WordHashes(dict):
     """64-bit hash of each word, remembered."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -76,8 +82,21 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     return scrambled(out + np.uint64(size))
 
 
-def map_batches(frame: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` for a function from one record batch to an iterator of lists of columns in the order of ``schema``."""
+def release(*caches) -> None:
+    """Empties a task's memories and hands what the worker no longer needs back to the system: Spark keeps workers for later
+    tasks, and many idle ones side by side would hold on to it."""
+    for cache in caches:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    system = ctypes.CDLL(None)
+    if hasattr(system, "malloc_trim"):
+        system.malloc_trim(0)
+
+
+def map_batches(frame: DataFrame, function, schema: str, *caches) -> DataFrame:
+    """``mapInArrow`` for a function from one record batch to an iterator of lists of columns in the order of ``schema``.
+    ``caches`` are what the function remembers from batch to batch; they are emptied when a task ends."""
     spark = frame.sparkSession
     empty = spark.createDataFrame([], schema)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -90,10 +109,13 @@ def map_batches(frame: DataFrame, function, schema: str) -> DataFrame:
                 for columns in function(batch):
                     arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)]
                     yield pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, arrow, strict=True)], schema=arrow)
+        release(*caches)
 
     return frame.mapInArrow(run, schema)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, so that others, whatever their names, cannot clash with its output."""
+    if docs.sparkSession.conf.get(_ROWS) == _DEFAULT_ROWS:
+        docs.sparkSession.conf.set(_ROWS, BATCH_ROWS)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -26,7 +26,7 @@ STEPS = 700
 BATCH = 256
 DOCS_PER_LANG = 300
 WORDS_PER_LANG = 20_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 UNDETERMINED = "und"
 
 
@@ -225,14 +225,14 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     probabilities go to the language that sorts first. Whole texts are read. Null ids and repeated rows are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    held: dict[str, object] = {"known": {}, "table": None}
+    held: dict[str, object] = {}
 
     def run(batch: pa.RecordBatch):
         fitted: LanguageModel = shared.value
         raw = raw_texts(batch.column(1))
         for a, b in slices([len(t) for t in raw]):
             words = [t.translate(WORD_BYTES).split() for t in raw[a:b]]
-            if held["table"] is None or len(held["known"]) > REMEMBERED:
+            if not held or len(held["known"]) > REMEMBERED:
                 held["known"], held["table"] = {}, np.zeros((0, len(fitted.languages) + 1))
             known, table = held["known"], held["table"]
             fresh = list(set().union(*words).difference(known))
@@ -251,7 +251,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                     score.append(min(1.0, float(total[best] / total[-1])))
             yield batch.column(0).slice(a, b - a), lang, score
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
+    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double", held)
 
 
 def held_out(id_col: Column) -> Column:

@@ -97,7 +97,7 @@ def classes(docs: DataFrame, size: int, threshold: float, runs: int, id_col: str
             yield [batch.column(0).slice(a, b - a), *(list(c) for c in zip(*rows, strict=True))]
 
     schema = "doc_id long, text_key binary, same binary, size long, s1 long, s2 long, paths array<long>"
-    return map_batches(id_and_text(docs, id_col, text_col), run, schema)
+    return map_batches(id_and_text(docs, id_col, text_col), run, schema, known)
 
 
 def forest(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -201,7 +201,7 @@ def members_with_sets(docs: DataFrame, members: DataFrame, size: int, id_col: st
         for a, b in slices([len(t) for t in raw]):
             yield batch.column(0).slice(a, b - a), [s.tobytes() for s in shingle_sets(raw[a:b], size, known)]
 
-    return map_batches(texts.select("node", "text"), run, "node binary, tokens binary")
+    return map_batches(texts.select("node", "text"), run, "node binary, tokens binary", known)
 
 
 def deeper(docs: DataFrame, large: DataFrame, keys: DataFrame, size: int, threshold: float, id_col: str, text_col: str) -> DataFrame:

@@ -46,7 +46,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
             if out:
                 yield [list(c) for c in zip(*out, strict=True)]
 
-    return map_batches(id_and_text(items, id_col, text_col), cut, "item_id long, words string, n int, shingles array<long>")
+    return map_batches(id_and_text(items, id_col, text_col), cut, "item_id long, words string, n int, shingles array<long>", known)
 
 
 def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -103,7 +103,7 @@ def document_runs(docs: DataFrame, held: np.ndarray, least: dict[int, int], id_c
             yield batch.column(0).slice(a, b - a), np.diff(starts), found
 
     schema = "doc_id long, n_words long, runs array<struct<size:int,start:int,words:string,shingles:array<long>>>"
-    return map_batches(id_and_text(docs, id_col, text_col), cut, schema)
+    return map_batches(id_and_text(docs, id_col, text_col), cut, schema, known)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrelwatch.llm.arrow import LOWER, id_and_text, map_batches, raw_texts, slices
+from kestrelwatch.llm.arrow import LOWER, id_and_text, map_batches, raw_texts, release, slices
 from kestrelwatch.session import materialise
 
 OWN_CLASSES = 383
@@ -34,7 +34,7 @@ BATCH = 2048
 RATE = 0.02
 FREQUENT = 200_000
 ENDING = 3
-HELD_WORDS = 300_000
+HELD_WORDS = 200_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -68,6 +68,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     found.clear()
         if found:
             yield out()
+        release(found)
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -246,6 +247,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(at, at + len(some)), pa.int32()), pa.array(some), pa.array(np.full(len(some), trainer.tokens, np.int64))], ["at", "value", "tokens"]
                 )
+        release(places)
 
     replicas = docs.select("text").mapInArrow(run, "at int, value double, tokens long")
     averaged = replicas.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
@@ -294,7 +296,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Log
 
     schema = "doc_id long, n_tokens long, n_known long, count_score double, score double, rare array<struct<word:string,n:long>>"
     # The rows are written with a number each, so that rare words find back to their row even if ids repeat.
-    main = materialise(map_batches(docs, run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-documents")
+    main = materialise(map_batches(docs, run, schema, held).withColumn("row", F.monotonically_increasing_id()), "lm-documents")
     fewest = int(vocabulary.counts.min()) if len(vocabulary.counts) else 1 << 62
     others = counts.where(F.col("n") < fewest).withColumnRenamed("n", "c")
     # A word that was never counted adds log10(0 + 1), which is nothing.

@@ -17,7 +17,7 @@ from kestrelwatch.llm import byte_bpe
 from kestrelwatch.llm.arrow import id_and_text, map_batches, raw_texts, slices
 
 LIMIT = 1024
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 NEVER = np.int64(1) << 40
 
 
@@ -108,4 +108,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             tokens += counter.count([t.decode() for t in raw[a:b]])
         yield batch.column(0), sizes, tokens, [n > limit for n in tokens]
 
-    return map_batches(id_and_text(docs, id_col, text_col), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(id_and_text(docs, id_col, text_col), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", held)

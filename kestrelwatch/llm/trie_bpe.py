@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from kestrelwatch.llm import byte_bpe
 from kestrelwatch.llm.arrow import id_and_text, map_batches, raw_texts, slices
 
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+SLICE = 1 << 20
 LAST = 1 << 40
 
 
@@ -55,7 +56,7 @@ class Neighbours:
         key = (left, right)
         found = self.seen.get(key)
         if found is None:
-            if len(self.seen) > 500_000:
+            if len(self.seen) > 200_000:
                 self.seen.clear()
             found = self.seen[key] = self._apart(self.edge(left, 1), self.edge(right, 0))
         return found
@@ -91,6 +92,7 @@ class Encoder:
         single = set(bpe.start.tolist())
         whole = {t for t, (a, b, _) in self.near.parts.items() if self._comes_about(a, b, t)}
         self.token = {bpe.spelled[t]: t for t in single | whole}
+        self.near.edges.clear()  # those of tokens that texts use come back
         self.length = {t: len(w) for w, t in self.token.items()}
         # Only lengths that occur with the last two bytes of a token need to be tried, longest first. One byte always can.
         found: dict[bytes, set[int]] = {}
@@ -116,11 +118,16 @@ class Encoder:
             else:
                 j += 1
 
-    def forget(self) -> None:
+    def forget(self, but: set[str] = frozenset()) -> None:
+        """Forgets all pieces but the given ones, which a slice has just used."""
+        kept = [(word, self.ids[self.starts[i] : self.starts[i] + self.sizes[i]]) for word, i in ((word, self.known[word]) for word in but)]
         self.known: dict[str, int] = {}
         self.starts, self.sizes, self.ids = array("q"), array("q"), array("i")
         for word, token in self.special.items():
             self._remember(word, [token])
+        for word, ids in kept:
+            if word not in self.special:
+                self._remember(word, ids)
 
     def _remember(self, word: str, ids: list[int]) -> None:
         self.known[word] = len(self.starts)
@@ -167,11 +174,12 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text begins, closed by the total."""
         if len(self.known) > REMEMBERED:
-            self.forget()
+            self.forget(self.latest)
         special = tuple(self.special)
         cut = [byte_bpe.pieces(t, special) for t in texts]
         known = self.known
-        self.learn(set(chain.from_iterable(cut)).difference(known))
+        self.latest = set(chain.from_iterable(cut))
+        self.learn(self.latest.difference(known))
         which = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
         starts, sizes, ids = (np.array(x) for x in (self.starts, self.sizes, self.ids))
         flat, ends = gathered(ids, starts[which], sizes[which])
@@ -218,12 +226,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         if not held:
             held.update(encoder=Encoder(tables.value), speller=Speller(tables.value.spelled))
         raw = raw_texts(batch.column(1))
-        for a, b in slices([len(t) for t in raw]):
+        for a, b in slices([len(t) for t in raw], SLICE):
             flat, bounds = held["encoder"].encode([t.decode() for t in raw[a:b]])
             ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
             yield batch.column(0).slice(a, b - a), ids, *([held["speller"].texts(flat, bounds)] if decoded else [])
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>" + ", decoded string" * decoded)
+    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>" + ", decoded string" * decoded, held)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
