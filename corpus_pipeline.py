@@ -1,11 +1,13 @@
 """Documents to token ids in four stages: language, near duplicates, benchmark passages, BPE.
 
-Every stage works on all rows that the one before it kept; all but the last return the columns of ``documents``.
+Every stage works on all rows that the one before it kept; all but the last return the columns of ``documents``. What goes is
+decided for each row by itself, whether its id is null or repeated.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,39 +18,59 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = "byte_bpe_50k.json"
 
 
-#: Ids up to this many (some 16 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows up to this many (some 16 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: A file has fewer rows than 2 to this power.
+FILE_ROW_BITS = 40
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``ids`` (column ``gone``); null ids stay. An id stands for all rows that have it."""
-    gone = materialise(ids.distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*COLUMNS)
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, which is never null and stands for one row only: its place in its Parquet file and the number of the
+    file. These are written, so that every reading finds the same. Anything but a plain Parquet table is written first."""
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    try:
+        placed = docs.select(*COLUMNS, path.alias("path"), place.alias("place")) if plain else None
+    except AnalysisException:
+        placed = None
+    if placed is None:
+        placed = materialise(docs.select(*COLUMNS), "documents").select(*COLUMNS, path.alias("path"), place.alias("place"))
+    files = sorted(r["path"] for r in placed.select("path").distinct().collect())
+    order = docs.sparkSession.createDataFrame(list(enumerate(files)), "file long, path string")
+    row = F.shiftleft("file", FILE_ROW_BITS).bitwiseOR(F.col("place"))
+    return placed.join(F.broadcast(order), "path").select(*COLUMNS, row.alias("row"))
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` (numbered) without the rows whose number is among ``rows`` (column ``gone``, no number twice)."""
+    gone = materialise(rows, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, docs["row"] == gone["gone"], "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in which no language can be told (null, or without a letter) go."""
-    found = byte_gru.predict(docs, byte_gru.train(docs))
-    return without(docs, found.where(F.col("lang_pred") == byte_gru.UNDETERMINED).select(F.col("doc_id").alias("gone")))
+    rows = numbered(docs)
+    found = byte_gru.predict(rows, byte_gru.train(docs), id_col="row")
+    return without(rows, found.where(F.col("lang_pred") == byte_gru.UNDETERMINED).select(F.col("doc_id").alias("gone")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of five-word shingles connect (similarity 0.8 or more) the document with the smallest id stays;
-    of rows that repeat an id and a text, one."""
-    found = materialise(chosen_path.similarity_join(docs), "ngram-classes")
-    kept = without(docs, found.where("class_id <> doc_id").select(F.col("doc_id").alias("gone")))
-    repeated = materialise(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again")), "repeated-ids")
-    if repeated.isEmpty():
-        return kept
-    same = kept["doc_id"] == repeated["again"]
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Of each group that links of five-word shingles connect (similarity 0.8 or more) the row with the smallest id stays, null
+    being the largest; of rows with the same id, one. Texts without words stay."""
+    rows = numbered(docs)
+    found = chosen_path.similarity_join(rows, id_col="row").where("n_links > 0")
+    linked = materialise(found.select(F.col("doc_id").alias("row"), "class_id"), "ngram-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stays = linked.join(rows.select("row", "doc_id"), "row").groupBy("class_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return without(rows, linked.join(stays, "row", "left_anti").select(F.col("row").alias("gone")))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.where("contaminated").select(F.col("doc_id").alias("gone")))
+    rows = numbered(docs)
+    found = decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="row")
+    return without(rows, found.where("contaminated").select(F.col("doc_id").alias("gone")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
