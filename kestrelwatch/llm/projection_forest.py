@@ -178,30 +178,32 @@ def merged(packs: DataFrame, sizes: list[int], dim: int) -> DataFrame:
     return dealt.repartition("leaf", "part").sortWithinPartitions("leaf").select("leaf", "n", "ids", "vecs").mapInArrow(run, "leaf int, n long, ids binary, vecs binary")
 
 
+def best(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of rows that may repeat."""
+    order = np.lexsort((ids, distances))
+    first = np.zeros(len(order), dtype=bool)
+    first[np.unique(ids[order], return_index=True)[1]] = True
+    order = order[first][:k]
+    return ids[order], distances[order]
+
+
 def nearest(ids: np.ndarray, x: np.ndarray, square: np.ndarray, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k rows nearest to q by distance and then id, and the distances in double precision. The expanded square picks what
-    can be among them, with a margin for its rounding; differences decide."""
+    """The k ids nearest to q by distance and then id, and the distances in double precision; an id that repeats counts once, at
+    its smallest distance. The expanded square picks what can be among them, with a margin for its rounding; differences decide."""
     other = ids != own
     if not other.all():
         ids, x, square = ids[other], x[other], square[other]
     if len(ids) > k:
         norm = float(q @ q)
         rough = square + norm - 2 * (x @ q)
-        limit = np.partition(rough, k - 1)[k - 1]
+        limit, most = np.partition(rough, k - 1)[k - 1], k
+        # Rows that repeat ids take the cut further out, until k ids are within.
+        while most < len(ids) and len(set(ids[rough <= limit].tolist())) < k:
+            most = min(len(ids), 2 * most)
+            limit = np.partition(rough, most - 1)[most - 1]
         some = rough <= limit + 1e-6 * (1 + norm + np.abs(square))
         ids, x = ids[some], x[some]
-    distance = np.sqrt(((x.astype(np.float64) - q) ** 2).sum(axis=1))
-    order = np.lexsort((ids, distance))[:k]
-    return ids[order], distance[order]
-
-
-def best(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of rows that may repeat."""
-    order = np.lexsort((ids, distances))
-    first = np.zeros(len(order), dtype=bool)
-    first[np.unique(ids[order], return_index=True)[1]] = True
-    order = order[first][:k]
-    return ids[order], distances[order]
+    return best(ids, np.sqrt(((x.astype(np.float64) - q) ** 2).sum(axis=1)), k)
 
 
 ROW = "query_id long, vec_id long, score double"

@@ -64,6 +64,19 @@ def test_rows_that_take_no_part(spark):
     assert projection_forest.search(table.where("false"), table).collect() == [] == projection_forest.search(table, table.where("false")).collect()
 
 
+def test_repeated_rows_are_one_neighbour(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((100, 6)))]
+    # Every row twice, one of them 300 times, and an id with two vectors.
+    more = rows * 2 + [rows[7]] * 298 + [(8, rows[9][1])]
+    table = spark.createDataFrame(more, "vec_id long, embedding array<double>").repartition(2)
+    found = by_query(projection_forest.search(table, spark.createDataFrame([r for r in rows if r[0] != 8], "vec_id long, embedding array<double>"), leaf_rows=10_000))
+    for q, v in rows:
+        far = {i: min(float(np.linalg.norm(np.array(w) - np.array(v))) for j, w in more if j == i) for i in range(100) if i != q}
+        if q != 8:
+            assert [i for _, i in found[q]] == sorted(far, key=lambda i: (far[i], i))[:10]
+
+
 def test_median_split_needs_two_sides():
     forest = projection_forest.fit(np.ones((50, 3)), 2, 4)
     assert forest.leaves == 2 and forest.leaf(np.ones((5, 3))).tolist() == [[0, 1]] * 5
