@@ -1,17 +1,19 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams its events; blocks (headings, paragraphs, list items, cells, ...) are the lines. Each
-line has the ratio of its characters outside links to its tags. A Gaussian smooths the ratios over neighbouring lines, a
-threshold clusters the smoothed ratios into content and the rest, and neighbouring content lines form regions. Elements
-that are no article by their meaning (navigation, headers and footers of the page, adverts, forms, comments, ...) never
-count as content and part regions. The article element or main element around the heaviest region, if there is one, says
-how far the region reaches, so that short paragraphs at its edges stay.
+line has the ratio of its characters outside links to its tags. A Gaussian smooths the logarithms of the ratios over
+neighbouring lines, so that one very long line does not outweigh the others, a threshold clusters them into content and the
+rest, and all content lines count. Elements that are no article by their meaning (navigation, headers and footers of the
+page, adverts, forms, comments, ...) never do. A name says so only as a whole, and not of an element that holds most of the
+text, unless it names comments or an article stands elsewhere. Content lines bring with them the lines of the article or main element around them, or else
+of the container around them, so that short paragraphs at its edges stay.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -36,18 +38,35 @@ LANDMARKS = frozenset(["article", "main"])
 OPTIONAL = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
 # Words of class, id and role that name what surrounds an article, and those that do so only outside of one.
 ASIDE = re.compile(
-    r"(?:^|[^a-z])(?:ad(?:s|slot|box|unit|wrap|space|container)?|adverts?|advertisements?|advertising|adsense|adsbygoogle|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|banners?|"
+    r"ad(?:s|slot|box|unit|wrap|space|container)?|adverts?|advertisements?|advertising|adsense|adsbygoogle|sponsor(?:s|ed)?|promo(?:s|tion|tions)?|banners?|"
     r"cookie[a-z]*|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|(?:top|main|sub|side|site|foot)?nav(?:bar|igation|list|menu)?|[a-z]*menus?|breadcrumbs?|"
-    r"side-?bars?|(?:right|left)-?(?:rail|bar)|[a-z]*footers?|colophon|copyright|topbar|comments?|comment-?list|respond|replies|disqus|responses|discussion|share|sharing|social|"
-    r"follow|related|recommended|newsletter|subscribe|subscription|signup|login|search|widgets?|toolbar|pagination|pager|skip-?link|complementary|contentinfo|hidden)(?:$|[^a-z])"
+    r"sidebars?|(?:right|left)(?:rail|bar)|rail|[a-z]*footers?|colophon|copyright|topbar|share|sharing|social|"
+    r"follow|related|recommended|newsletter|subscribe|subscription|signup|login|search|widgets?|toolbar|pagination|pager|skip|skiplink|complementary|contentinfo|hidden"
+)
+COMMENTS = re.compile(r"comments?|commentlist|respond|replies|disqus")
+TOP = re.compile(r"[a-z]*headers?|masthead")
+# Words that may stand beside such a word in one name.
+BESIDE = re.compile(
+    r"site|page|main|top|bottom|left|right|side|bar|global|primary|secondary|mobile|sticky|box|block|unit|slot|wrap|wrapper|container|area|inner|outer|content|section|panel|"
+    r"list|links?|items?|icons?|buttons?|form|us|me|by|posts?|stories|articles?|story|article|text|image|law|media|js|the|[a-z]?"
 )
-TOP = re.compile(r"(?:^|[^a-z])(?:[a-z]*headers?|masthead)(?:$|[^a-z])")
 # A token that begins like this says something about a neighbour.
 ABOUT_OTHERS = ("has-", "has_", "no-", "no_", "with-", "with_", "without-", "hide-", "show-")
 CONTAINERS = frozenset("div section article ul ol dl table p span aside header footer figure li details".split())
+# Elements that lines stand in; others are part of a line or of a list.
+BOXES = frozenset("article aside body center dd details dialog div fieldset figure footer form header main nav section td".split())
 SPACE = re.compile(r"\s+")
 
 
+def names(tokens: list[str], what: re.Pattern) -> bool:
+    """Whether a whole token says ``what``: one of its words does, and no word says anything else."""
+    for token in tokens:
+        words = re.split(r"[^a-z]+", token)
+        if any(map(what.fullmatch, words)) and all(what.fullmatch(w) or BESIDE.fullmatch(w) for w in words):
+            return True
+    return False
+
+
 @dataclass
 class Line:
     text: str
@@ -56,6 +75,8 @@ class Line:
     landmark: int
     outside: bool
     heading: bool = False
+    named: tuple[int, ...] = ()
+    box: int = 0
 
     @property
     def ratio(self) -> float:
@@ -68,12 +89,15 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, no content, landmark
+        # Tag, no content, landmark, numbers of the elements around with a name of surroundings, box.
+        self.open: list[tuple[str, bool, int, tuple[int, ...], int]] = []
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.landmarks = 0
         self.around: set[int] = set()  # landmarks that are main elements
         self.parent: dict[int, int] = {}  # the main element around an article
+        self.certain: list[bool] = []  # of each element with such a name: whatever it holds
+        self.boxes = [0]  # the box around each box
 
     def silent(self) -> bool:
         return bool(self.open) and self.open[-1][1]
@@ -84,8 +108,9 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in self.open[-3:])
-            self.lines.append(Line(text, self.tags, self.linked, self.landmark(), self.silent(), heading))
+            heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, *_ in self.open[-3:])
+            named, box = self.open[-1][3:] if self.open else ((), 0)
+            self.lines.append(Line(text, self.tags, self.linked, self.landmark(), self.silent(), heading, named, box))
             self.tags = self.linked = 0
         self.parts = []
 
@@ -102,10 +127,18 @@ class Lines(HTMLParser):
             self.flush()
         inside = self.landmark()
         tokens = [t for k, v in attrs if v and k in ("class", "id", "role") for t in v.lower().split() if not t.startswith(ABOUT_OTHERS)]
-        named = " ".join(tokens) if tag in CONTAINERS else ""
+        tokens = tokens if tag in CONTAINERS else []
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "")) for k, v in attrs)
         # A header inside an article holds its title.
-        no = self.silent() or hidden or tag in HIDDEN or (not inside and (tag == "header" or bool(TOP.search(named)))) or bool(ASIDE.search(named))
+        no = self.silent() or hidden or tag in HIDDEN or (not inside and tag == "header")
+        named, box = self.open[-1][3:] if self.open else ((), 0)
+        comments = names(tokens, COMMENTS)
+        if comments or names(tokens, ASIDE) or (not inside and names(tokens, TOP)):
+            named = (*named, len(self.certain))
+            self.certain.append(comments)
+        if tag in BOXES:
+            self.boxes.append(box)
+            box = len(self.boxes) - 1
         if tag in LANDMARKS and not no:
             # The outermost article, or else the main element around.
             if not inside or (tag == "article" and inside in self.around):
@@ -115,7 +148,7 @@ class Lines(HTMLParser):
                 elif inside:
                     self.parent[self.landmarks] = inside
                 inside = self.landmarks
-        self.open.append((tag, no, inside))
+        self.open.append((tag, no, inside, named, box))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -123,7 +156,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def leave(self, depth: int) -> None:
-        if any(t in BLOCKS or t in HIDDEN for t, _, _ in self.open[depth:]):
+        if any(t in BLOCKS or t in HIDDEN for t, *_ in self.open[depth:]):
             self.flush()
         del self.open[depth:]
 
@@ -141,12 +174,27 @@ class Lines(HTMLParser):
         if inner in ("script", "style"):
             return
         self.parts.append(data)
-        if any(t == "a" for t, _, _ in self.open[-4:]):
+        if any(t == "a" for t, *_ in self.open[-4:]):
             self.linked += len(data.strip())
 
     def done(self) -> list[Line]:
         self.close()
         self.flush()
+        # A name does not count for an element that holds most of the text, unless an article stands elsewhere.
+        held, total = [0] * len(self.certain), 0
+        article = any(line.landmark and not line.named and not line.outside for line in self.lines)
+        for line in self.lines:
+            size = 0 if line.outside else max(0, len(line.text) - line.linked)
+            total += size
+            for k in line.named:
+                held[k] += size
+        for line in self.lines:
+            line.outside = line.outside or any(article or self.certain[k] or 2 * held[k] <= total for k in line.named)
+        # A box with a single line is part of the box around it.
+        lines = Counter(line.box for line in self.lines)
+        for line in self.lines:
+            while line.box and lines[line.box] == 1:
+                line.box = self.boxes[line.box]
         return self.lines
 
 
@@ -180,30 +228,34 @@ def threshold(values: list[float]) -> float:
 def content(lines: list[Line], parent: dict[int, int]) -> list[Line]:
     """The lines of the content regions, in page order. ``parent``: the main element around an article, whose headings before
     the article belong to it."""
-    ratios = smoothed([0.0 if line.outside else line.ratio for line in lines])
+    own = [0.0 if line.outside else math.log1p(line.ratio) for line in lines]
+    ratios = smoothed(own)
     inner = [r for r, line in zip(ratios, lines, strict=True) if not line.outside]
     # Lines outside take part as what content is to be told from.
     border = min(threshold(ratios), threshold(inner)) if inner else 0.0
     high = [r >= border and not line.outside for r, line in zip(ratios, lines, strict=True)]
-    mass: dict[int, int] = {}
-    for yes, line in zip(high, lines, strict=True):
-        if yes and line.landmark:
-            mass[line.landmark] = mass.get(line.landmark, 0) + len(line.text)
-    if mass:
-        most = max(mass, key=lambda k: (mass[k], -k))
-        first = next(i for i, line in enumerate(lines) if line.landmark == most)
-        title = parent.get(most, -1)
-        return [line for i, line in enumerate(lines) if not line.outside and (line.landmark == most or (line.heading and line.landmark == title and i < first))]
-    # Without an article element: from the first to the last line of the regions, what lies between belongs to them if it is
-    # not outside; a heading right before a region opens it.
-    where = [i for i, yes in enumerate(high) if yes]
-    if not where:
-        return []
-    first, last = where[0], where[-1]
-    while first > 0 and lines[first - 1].heading and not lines[first - 1].outside:
-        first -= 1
     links = [line.linked * 2 > len(line.text) for line in lines]
-    return [line for i, line in enumerate(lines) if first <= i <= last and not line.outside and (high[i] or not links[i])]
+    marks = {line.landmark for yes, line in zip(high, lines, strict=True) if yes and line.landmark}
+    if marks:
+        # Beside an article a line must be high itself, not by the article's lines.
+        high = [yes and (line.landmark > 0 or (r >= border and not link)) for yes, r, line, link in zip(high, own, lines, links, strict=True)]
+    where = [i for i, yes in enumerate(high) if yes and not lines[i].landmark]
+    taken = [yes or (line.landmark in marks and not line.outside) for yes, line in zip(high, lines, strict=True)]
+    # The headings of a main element before its first article with content.
+    first: dict[int, int] = {}
+    for i, line in enumerate(lines):
+        if line.landmark in marks and line.landmark in parent:
+            first.setdefault(parent[line.landmark], i)
+    taken = [yes or (line.heading and not line.outside and i < first.get(line.landmark, -1)) for i, (yes, line) in enumerate(zip(taken, lines, strict=True))]
+    if not marks and where:
+        # Without an article element: the containers of the regions and what lies between them, if it is not outside; a heading
+        # right before a region opens it.
+        boxes = {lines[i].box for i in where}
+        begin, end = where[0], where[-1]
+        while begin > 0 and lines[begin - 1].heading and not lines[begin - 1].outside:
+            begin -= 1
+        taken = [yes or ((begin <= i <= end or line.box in boxes) and not line.outside and not link) for i, (yes, line, link) in enumerate(zip(taken, lines, links, strict=True))]
+    return [line for yes, line in zip(taken, lines, strict=True) if yes]
 
 
 def main_text(html: str | None) -> str:

@@ -163,6 +163,17 @@ def test_names_that_surround_and_names_that_do_not():
     assert tag_ratio.main_text(page) == " ".join(["Title", "Inner", *["Some words of the article stand here, one after the other."] * 3])
 
 
+FRAME = "<body><nav><a href=/>Home</a> <a href=/n>News</a></nav>{}<div class='related-stories'><a href=1>Other</a> <a href=2>Another</a></div><footer>All rights reserved</footer></body>"
+
+
+@pytest.mark.parametrize("lengths", [[300] * 20 + [50_000] + [300] * 15, [5, 8, 6, *[400] * 10, 7, 5, 9, 4, 6, 8, 5], [9] * 8 + [900] + [9] * 8])
+@pytest.mark.parametrize("paragraph", ["<p>{}</p>", "<div>{}</div>", "<ul><li>{}</ul>"])
+def test_long_and_short_lines_without_landmarks(lengths, paragraph):
+    texts = [f"{i} " + "word " * (n // 5) + "end." for i, n in enumerate(lengths)]
+    page = FRAME.format("<div class=text>" + "".join(paragraph.format(t) for t in texts) + "</div>")
+    assert tag_ratio.main_text(page) == " ".join(texts)
+
+
 def test_odd_pages(spark):
     assert tag_ratio.main_text(None) == tag_ratio.main_text("") == tag_ratio.main_text("<html><body></body></html>") == ""
     assert tag_ratio.main_text("plain text") == "plain text" and tag_ratio.main_text("<p>a &lt;b&gt; &#233;") == "a <b> é"
