@@ -174,6 +174,19 @@ def test_long_and_short_lines_without_landmarks(lengths, paragraph):
     assert tag_ratio.main_text(page) == " ".join(texts)
 
 
+def test_all_regions_that_are_content():
+    story = ["The first part of the story is told in these words here. " * 3, "The second part of it is told in these other words. " * 3, "What stands in no article is told in a third row of words. " * 4]
+    page = FRAME.format(f"<article><p>{story[0]}</p><p>Yes.</p></article><article><p>{story[1]}</p><p>No.</p></article><div class=more><p>{story[2]}</p></div>")
+    assert tag_ratio.main_text(page) == " ".join(f"{story[0]}Yes. {story[1]}No. {story[2]}".split())
+
+
+@pytest.mark.parametrize("begin", ["<article class='post tag-search category-social'>", "<div class='post-with-comments-off'>", "<div id=widget>", "<section class=banner>"])
+def test_names_that_do_not_silence_the_text(begin):
+    text = "The story is told in these words here and in no others. " * 3
+    page = FRAME.format(f"{begin}<p>{text}</p><section id=discussion><p>{text}</p></section></{begin[1:].split()[0]}>")
+    assert tag_ratio.main_text(page) == " ".join((text + text).split())
+
+
 def test_odd_pages(spark):
     assert tag_ratio.main_text(None) == tag_ratio.main_text("") == tag_ratio.main_text("<html><body></body></html>") == ""
     assert tag_ratio.main_text("plain text") == "plain text" and tag_ratio.main_text("<p>a &lt;b&gt; &#233;") == "a <b> é"
