@@ -22,6 +22,8 @@ TOKENIZER = "byte_bpe_50k.json"
 BROADCAST_ROWS = 1_000_000
 #: A file has fewer rows than 2 to this power.
 FILE_ROW_BITS = 40
+#: Share of the labelled texts that must score better than a text without label that goes.
+CLEAN = 0.999
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -49,10 +51,22 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which no language can be told (null, or without a letter) go."""
-    rows = numbered(docs)
-    found = byte_gru.predict(rows, byte_gru.train(docs), id_col="row")
-    return without(rows, found.where(F.col("lang_pred") == byte_gru.UNDETERMINED).select(F.col("doc_id").alias("gone")))
+    """Texts in which no language can be told go: null, without a letter, or without a label and with a pooled probability
+    that ``CLEAN`` of the labelled texts of like length (in powers of two of bytes) surpass. Labelled texts with a letter stay;
+    so do lengths without labelled texts, and all texts with a letter if there was nothing to learn from."""
+    rows, model = numbered(docs), byte_gru.train(docs)
+    if not model.languages:
+        return without(rows, rows.where(~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(F.col("row").alias("gone")))
+    found = byte_gru.predict(rows, model, id_col="row").withColumnRenamed("doc_id", "gone")
+    if rows.where("lang is null").isEmpty():
+        return without(rows, found.where(F.col("lang_pred") == byte_gru.UNDETERMINED).select("gone"))
+    found = materialise(found, "languages")
+    told = found.where(F.col("lang_pred") != byte_gru.UNDETERMINED)
+    length = F.floor(F.log2(F.octet_length("text")))
+    told = materialise(told.join(rows.select(F.col("row").alias("gone"), "lang", length.alias("length")), "gone"), "scores")
+    least = told.where(F.col("lang").isin(model.languages)).groupBy("length").agg(F.percentile_approx("score", 1 - CLEAN, 10_000).alias("least"))
+    unlike = told.where("lang is null").join(F.broadcast(least), "length").where("score < least")
+    return without(rows, found.where(F.col("lang_pred") == byte_gru.UNDETERMINED).select("gone").unionByName(unlike.select("gone")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

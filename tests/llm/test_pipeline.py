@@ -1,3 +1,5 @@
+import random
+
 import helpers
 import pytest
 
@@ -50,3 +52,21 @@ def test_row_numbers(spark, folder):
     for rows in (corpus_pipeline.numbered(docs), corpus_pipeline.numbered(read), corpus_pipeline.numbered(read.where("true").union(read))):
         first = [r.row for r in rows.orderBy("row").collect()]
         assert len(set(first)) == rows.count() and first == [r.row for r in rows.repartition(5).select("row").orderBy("row").collect()]
+
+
+def test_language_judges_by_its_scores(spark, folder):
+    rng = random.Random(8)
+    sounds = {"en": ["the", "and", "with", "house", "street", "window", "thing"], "de": ["und", "nicht", "schule", "zwischen", "straße", "über", "auch"]}
+    texts = [(lang, " ".join(rng.choice(sounds[lang]) for _ in range(60))) for _ in range(120) for lang in sounds]
+    clean = [(None, t) for _, t in texts[:20]]
+    junk = [(None, "".join(rng.choice("jqxzvkpwy") + rng.choice(["", " "]) for _ in range(280))) for _ in range(20)]
+    short = [(None, "Ok")]
+    rows = [(i, t, lang, "s", 1) for i, (lang, t) in enumerate(texts + clean + junk + short + [("en", "jqxz " * 60), ("en", "12"), (None, "")])]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(rows, helpers.SCHEMA).repartition(3), folder)
+    gone = {t for _, t in junk} | {"12", ""}
+    assert sorted(r.doc_id for r in kept.collect()) == [r[0] for r in rows if r[1] not in gone]
+
+
+def test_nothing_to_learn_from(spark, folder):
+    rows = [(1, A, None, "s", 1), (2, "12 34", None, "s", 1), (3, None, None, "s", 1), (None, "漢字", None, "s", 1)]
+    assert texts(corpus_pipeline.language(spark, spark.createDataFrame(rows, helpers.SCHEMA), folder)) == [(1, A), (None, "漢字")]
