@@ -1,7 +1,10 @@
+import hashlib
 import random
 
 import helpers
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 
@@ -70,3 +73,29 @@ def test_language_judges_by_its_scores(spark, folder):
 def test_nothing_to_learn_from(spark, folder):
     rows = [(1, A, None, "s", 1), (2, "12 34", None, "s", 1), (3, None, None, "s", 1), (None, "漢字", None, "s", 1)]
     assert texts(corpus_pipeline.language(spark, spark.createDataFrame(rows, helpers.SCHEMA), folder)) == [(1, A), (None, "漢字")]
+
+
+def test_run_against_plain_python(spark, folder):
+    """All four stages on nulls, repeated ids, copies and planted passages."""
+    plain = helpers.corpus(spark, [30, 40, 50, 60, 70, 80], seed=3)
+    rows = [(i, t) for i, t in enumerate(plain)] + [(None, plain[0]), (40, plain[1].upper()), (2, plain[2]), (None, plain[3] + " more")]
+    rows += [(2, A), (None, B), (None, None), (7, "12 !!"), (None, "..."), (8, f"{plain[4]} {C}"), (None, f"x {C.upper()}"), (4, D), (None, "a short item here")]
+    table(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    sets = [helpers.shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                group = [group[b] if g == group[a] else g for g in group]
+    best = {}
+    for (i, t), g in sorted(zip(rows, group), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
+        best.setdefault(g, (i, t))
+    items = [helpers.words(t) for _, t in BENCHMARK]
+    windows = {" ".join(w[k : k + 10]) for w in items for k in range(max(1, len(w) - 9))}
+    kept = [(i, t) for i, t in best.values() if not any(f" {w} " in f" {' '.join(helpers.words(t))} " for w in windows)]
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    want = [(i, library.encode(t, add_special_tokens=False).ids, hashlib.sha256(t.encode()).hexdigest()) for i, t in kept]
+    found = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(((r.doc_id, r.ids, r.decoded_sha256) for r in found), key=repr) == sorted(want, key=repr)
+    assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in found)
