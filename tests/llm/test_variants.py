@@ -1,0 +1,134 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import helpers
+import numpy as np
+import pytest
+
+from kestrelwatch.llm import queries, variant_trie
+
+SMALL = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string"
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def counted(rows):
+    out = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = helpers.lower(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            out[run] += 1
+    return {w: n for w, n in out.items() if len(w) >= 5 and n >= 3}
+
+
+def brute(words):
+    """word: (form, root, n, n_near, form_n)"""
+    forms, out = {}, {}
+    for w, n in words.items():
+        found = sorted((-words[o], o) for o in words if near(w, o))
+        best = found[0] if found and -found[0][0] >= 2 * n else (None, None)
+        forms[w] = best[1]
+        out[w] = (best[1], n, len(found), None if best[1] is None else -best[0])
+    for w, (form, n, many, form_n) in out.items():
+        root = w
+        while forms[root] is not None:
+            root = forms[root]
+        out[w] = (form, root, n, many, form_n)
+    return out
+
+
+def answer(frame):
+    rows = frame.collect()
+    assert len({r.word for r in rows}) == len(rows)
+    return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+
+
+def random_words(rng, letters, sizes, count):
+    out = {}
+    while len(out) < count:
+        word = "".join(rng.choice(letters) for _ in range(rng.choice(sizes)))
+        for w in (word, word[: len(word) // 2] + rng.choice(letters) + word[len(word) // 2 :], word[1:] + rng.choice(letters)):
+            if len(w) >= 5:
+                out[w] = rng.randint(3, 60)
+    return out
+
+
+@pytest.mark.parametrize("setting", ["one bucket each length", "deep trunk", "every leaf crowded", "many visitors"])
+def test_near_words_are_those_of_all_pairs(spark, monkeypatch, setting):
+    rng = random.Random(setting)
+    words = random_words(rng, "abnoéÿ×z", [5, 6, 7, 8], 350)
+    if setting == "deep trunk":
+        monkeypatch.setattr(variant_trie, "NODE_WORDS", 8)
+    if setting == "every leaf crowded":
+        monkeypatch.setattr(variant_trie, "NODE_WORDS", 0)
+    if setting == "many visitors":
+        monkeypatch.setattr(variant_trie, "NODE_WORDS", 20)
+        monkeypatch.setattr(variant_trie, "BUCKET_VISITORS", 15)
+        monkeypatch.setattr(variant_trie, "BLOCK", 16)
+        monkeypatch.setattr(variant_trie, "COMPARED", 64)
+    table = spark.createDataFrame(list(words.items()), "word string, n long")
+    got = sorted((r.word, r.other, r.other_n) for r in variant_trie.near_words(table).collect())
+    assert got == sorted((a, b, words[b]) for a in words for b in words if near(a, b))
+
+
+def test_documents_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = [w for w in random_words(rng, "abdéx", [5, 6], 120) for _ in range(rng.choice([1, 3, 9, 40]))]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(120)]
+    texts = [re.sub("[a-c]", lambda m: m.group().upper() if rng.random() < 0.2 else m.group(), t.replace(" d", "-é")) for t in texts]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0])] * 3 + [(7, texts[1])] * 4 + [(8, None), (9, ""), (10, "ÀÉÎÕÜ " * 5 + "àéîõü " * 9)]
+    want = brute(counted(rows))
+    assert answer(variant_trie.variants(spark.createDataFrame(rows, SCHEMA))) == want
+    assert any(root not in (w, form) for w, (form, root, *_) in want.items()) and sum(f is not None for f, *_ in want.values()) > 20
+
+
+def test_chains_of_forms(spark):
+    chain = ["aaaaab", "aaaabb", "aaabbb", "aabbbb", "abbbbb", "bbbbbb", "bbbbbc"]
+    rows = [(i, " ".join(w for k, w in enumerate(chain) for _ in range(3 * 2**k))) for i in range(1)]
+    found = answer(variant_trie.variants(spark.createDataFrame(rows, SCHEMA)))
+    assert found == brute(counted(rows))
+
+
+def test_equal_counts_go_to_the_smaller_word(spark):
+    rows = [(1, "qwert " * 3 + "qwerty " * 8 + "qwerté " * 8 + "qwerta " * 8)]
+    assert answer(variant_trie.variants(spark.createDataFrame(rows, SCHEMA))) == brute(counted(rows))
+    assert brute(counted(rows))["qwert"][0] == "qwerta"
+
+
+def test_very_long_words_and_awkward_tables(spark):
+    long = "ab" * 20_000
+    rows = [(i, f"{long} {long}c {long[1:]}") for i in range(4)]
+    assert answer(variant_trie.variants(spark.createDataFrame(rows, SCHEMA))) == brute(counted(rows))
+    docs = helpers.awkward(spark)
+    assert answer(variant_trie.variants(docs)) == brute(counted([(r.doc_id, r.text) for r in docs.collect()]))
+    assert variant_trie.variants(helpers.empty(spark)).collect() == []
+
+
+def test_query_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    words = counted([(d.doc_id, d.text) for d in docs])
+    got = answer(queries.op11_spelling_variants(spark, SMALL))
+    assert {w: r[2] for w, r in got.items()} == words
+    some = set(random.Random(1).sample(sorted(words), 150))
+    for w in some:
+        found = sorted((-words[o], o) for o in words if abs(len(o) - len(w)) < 2 and near(w, o))
+        assert got[w][3] == len(found)
+        assert got[w][0] == (found[0][1] if found and -found[0][0] >= 2 * words[w] else None)
+
+
+def test_vectors_count_letters():
+    words = variant_trie.Words.of(["abcab".encode(), "éé".encode(), b""])
+    vectors = words.vectors()
+    assert vectors[:, 0].tolist() == [5, 2, 0] == vectors[:, 1:].sum(axis=1).tolist()
+    assert np.array_equal(variant_trie.paths(vectors)[0, :1], variant_trie.paths(vectors[:1, :1])[0])
