@@ -92,7 +92,7 @@ def _state(spec: dict[str, Any]) -> State:
     close = spec.get("close")
     strategy = (close or {}).get("multipleMatchStrategy") or WARN
     if strategy not in (WARN, POP, CLOSE_ALL):
-        log.error("state %s has an unknown multipleMatchStrategy; it will warn", spec["name"])
+        log.error("state %s: multipleMatchStrategy is %r, which is none of %s, %s, %s; taking %s", spec["name"], strategy, CLOSE_ALL, POP, WARN, WARN)
         strategy = WARN
     return State(
         name=spec["name"],
@@ -114,6 +114,11 @@ def rules_from_dict(spec: dict[str, Any], name: str = "rules") -> RuleSet:
     tags = spec.get("tags") or {}
     if set(tags) - set(TAG_SLOTS):
         raise ValueError(f"tags must be named by the slots {', '.join(TAG_SLOTS)}")
+    for state in by_name.values():
+        for transition in (state.open, state.close):
+            # A misspelt tag would put nothing into any slot, and every open would then satisfy the requirement.
+            if transition is not None and set(transition.tags) - set(tags.values()):
+                raise ValueError(f"state {state.name} uses tags that the rules do not list: {sorted(set(transition.tags) - set(tags.values()))}")
     return RuleSet(
         name=name,
         states=tuple(by_name.values()),

@@ -59,7 +59,16 @@ def states(**close):
 
 def test_unknown_strategy_warns(caplog):
     assert rules_from_dict(states(multipleMatchStrategy="other")).states[0].strategy == "warn"
-    assert "close, pop or warn" in caplog.text
+    assert "state a:" in caplog.text and all(name in caplog.text for name in ("close", "pop", "warn"))
+
+
+def test_unlisted_tag_is_an_error():
+    spec = states(tags=[{"name": "domian", "definition": "d"}])
+    with pytest.raises(ValueError, match="domian"):
+        rules_from_dict({**spec, "tags": {"tag1": "domain"}})
+    with pytest.raises(ValueError, match="domian"):
+        rules_from_dict(spec)
+    assert rules_from_dict({**spec, "tags": {"tag2": "domian"}}).tag_names[1] == "domian"
 
 
 @pytest.mark.parametrize("broken", [{"interval": "5"}, {"interval": "minutes"}, {"tags": {"tag4": "x"}}, {"alertingDelay": "1 day"}])
