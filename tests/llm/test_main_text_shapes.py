@@ -1,0 +1,80 @@
+"""Pages of many shapes, and what their main text is."""
+
+import pytest
+
+from kestrelwatch.llm import tag_ratio
+
+TEXTS = [f"Paragraph {i} tells in plain words what happened on that day, and it does so at some length. " * 2 for i in range(6)]
+STORY = "".join(f"<p>{t}</p>" for t in TEXTS)
+WANT = " ".join(["Title", *(" ".join(t.split()) for t in TEXTS)])
+MENU = "<ul class=menu><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/c>Contact</a></ul>"
+REMARK = "I do not agree at all with what is said here, and I have my reasons for that, which are many."
+
+
+@pytest.mark.parametrize("story", ["<h1>Title</h1>{}", "<article><h1>Title</h1>{}</article>", "<main><h1>Title</h1><div>{}</div></main>", "<div id=c><h1>Title</h1><div>{}</div></div>"])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form id=aspnetForm method=post>{m}<input name=q><label>Search here</label><select><option>All</select>{s}<footer>All rights reserved</footer></form>",
+        "{m}<form id=f><fieldset><legend>Page</legend>{s}</fieldset></form>",
+        "<table><tr><td>{m}</td><td>{s}</td><td><a href=1>One link</a> <a href=2>Two links</a></td></tr></table>",
+        "{m}{s}<form action=/login>Your name is needed to log in here <input name=n> and your password as well <input name=p></form>",
+        "<div>{m}</div>{s}<fieldset>Vote: do you like this page or do you not like it at all? <button>Yes</button></fieldset>",
+    ],
+)
+def test_forms_and_tables(page, story):
+    text = tag_ratio.main_text("<body>" + page.format(m=MENU, s=story.format(STORY)) + "</body>")
+    assert text == WANT
+
+
+NAMED = [
+    "<div class='discussion-thread'>{}</div>",
+    "<section id=comments>{}</section>",
+    "<ol class=commentlist>{}</ol>",
+    "<div class='reader-opinions'>{}</div>",
+    "<div id=user-feedback>{}</div>",
+    "<div id=disqus_thread>{}</div>",
+]
+
+
+@pytest.mark.parametrize("story", ["<h1>Title</h1>{}", "<article><h1>Title</h1>{}</article>"])
+@pytest.mark.parametrize("box", NAMED)
+@pytest.mark.parametrize("times", [1, 4])
+def test_named_comments(story, box, times):
+    page = MENU + "<div class=page>" + story.format(STORY) + "</div>" + box.format(f"<div><b>Ann</b><p>{REMARK}</p></div>" * times)
+    assert tag_ratio.main_text(f"<body>{page}</body>") == WANT
+
+
+STYLES = [
+    "<div class='entry c{}'><span class=author>Ann</span> <span class=date>3 May</span><p>{}</p></div>",
+    "<li class=item{}><img class=avatar src=x><time>yesterday</time><div>{}</div></li>",
+    "<article class='box n{}'><div class=byline>by Bob</div><div class=meta><a class=permalink href=#>#</a></div><p>{}</p></article>",
+    "<section><div itemprop=creator>Cid</div><time>10:0{}</time><blockquote>{}</blockquote></section>",
+]
+
+
+@pytest.mark.parametrize("story", ["<h1>Title</h1>{}", "<article><h1>Title</h1>{}</article>", "<main><h1>Title</h1>{}</main>"])
+@pytest.mark.parametrize("style", STYLES)
+@pytest.mark.parametrize("times", [2, 9])
+def test_comments_by_their_structure(story, style, times):
+    thread = "".join(style.format(i, REMARK) for i in range(times))
+    page = f"{MENU}<div class=page>{story.format(STORY)}</div><div class=below>{thread}</div>"
+    assert tag_ratio.main_text(f"<body>{page}</body>") == WANT
+
+
+@pytest.mark.parametrize("style", STYLES)
+def test_pages_that_are_nothing_but_posts(style):
+    posts = "".join(style.format(i, t) for i, t in enumerate(TEXTS))
+    found = tag_ratio.main_text(f"<body><div>{posts}</div></body>")
+    assert all(" ".join(t.split()) in found for t in TEXTS)
+
+
+def test_a_single_author_and_time_are_part_of_the_article():
+    page = f"<body>{MENU}<div class=post><h1>Title</h1><div class=meta><span class=author>Ann</span><time>May</time></div>{STORY}</div><div class=post></div></body>"
+    found = tag_ratio.main_text(page)
+    assert found.startswith("Title") and found.endswith(" ".join(TEXTS[-1].split())) and all(" ".join(t.split()) in found for t in TEXTS)
+
+
+def test_sections_without_authors_stay():
+    page = "<body>" + MENU + "".join(f"<div class=section><h2>Part</h2><p>{t}</p></div>" for t in TEXTS) + "</body>"
+    assert tag_ratio.main_text(page) == " ".join(f"Part {' '.join(t.split())}" for t in TEXTS)
