@@ -3,8 +3,9 @@
 Texts with the same set of shingles are one class, and only classes are joined. In every run each set draws shingles: a
 shingle is drawn by all sets that hold it or by none of equal size, with a chance of 1/(threshold * size), so that two
 similar sets draw on average one in common. Sets that drew the same shingle form a bucket. Buckets that are still large are
-split again by shingles drawn for that path; small ones are compared by brute force, and so are those that the deepest
-level leaves, block against block. Runs are repeated until pairs at the threshold are met with the target recall.
+split again by shingles drawn for that path, until they are small or their sets are alike, so that no shingle would part
+them. Small buckets are compared by brute force, and so are those of alike sets, block against block. Runs are repeated
+until pairs at the threshold are met with the target recall; sets that had to go deeper than expected get further runs.
 
 The brute force in a bucket compares sketches, which never judge: it hands on a spanning forest of the pairs whose sketches
 do not rule them out, so a bucket of n sets gives less than n rows. Connected sets then come together once, and there all
@@ -31,9 +32,15 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 SMALL = 1024
+#: Levels that the runs are planned for; sets that go deeper get more runs. The last level compares whatever is left.
 DEPTH = 2
+DEEPEST = 8
+#: Share of a bucket that resembles one of its sets, from which splitting is of no use.
+ALIKE = 0.5
+#: No more paths than this are large: the size that counts as large grows with the number of rows where need be.
+LARGE_PATHS = 1_000_000
 SKETCH_BITS = 128
-BLOCK = 512
+BLOCK = 1024
 BROADCAST_ROWS = 300_000
 
 
@@ -132,8 +139,9 @@ def pairs_by_sketch(size: np.ndarray, s1: np.ndarray, s2: np.ndarray, threshold:
     return out
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """The columns of each group, from batches that are sorted by ``keys``; a group may reach over several batches."""
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 2) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each group of at least ``least`` rows, from batches that are sorted by ``keys``; a group may reach over
+    several batches."""
     held: dict[str, np.ndarray] = {}
     for batch in batches:
         rows = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names)}
@@ -145,11 +153,12 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[di
         new = np.zeros(n, dtype=bool)
         for key in keys:
             new[1:] |= rows[key][1:] != rows[key][:-1]
-        cuts = np.flatnonzero(new).tolist()
-        for a, b in zip([0, *cuts[:-1]] if cuts else [], cuts, strict=True):
+        cuts = np.r_[0, np.flatnonzero(new)]
+        full = np.flatnonzero(np.diff(cuts) >= least)
+        for a, b in zip(cuts[full].tolist(), cuts[full + 1].tolist(), strict=True):
             yield {name: column[a:b] for name, column in rows.items()}
-        held = {name: column[cuts[-1] if cuts else 0 :] for name, column in rows.items()}
-    if held:
+        held = {name: column[cuts[-1] :] for name, column in rows.items()}
+    if held and len(held[keys[0]]) >= least:
         yield held
 
 
@@ -171,7 +180,7 @@ def candidate_edges(level: DataFrame, threshold: float) -> DataFrame:
         out_a, out_b = [], []
         for group in groups_of(batches, ["path", "block1", "block2"]):
             node, s1, s2 = group["node"], group["s1"].view(np.uint64), group["s2"].view(np.uint64)
-            for a, b in pairs_by_sketch(group["size"], s1, s2, threshold, unequal) if len(node) > 1 else ():
+            for a, b in pairs_by_sketch(group["size"], s1, s2, threshold, unequal):
                 out_a.append(node[a])
                 out_b.append(node[b])
             if len(out_a) > 10_000:
@@ -182,10 +191,22 @@ def candidate_edges(level: DataFrame, threshold: float) -> DataFrame:
     return rows.select("path", "block1", "block2", "node", "size", "s1", "s2").mapInArrow(compare, "a binary, b binary")
 
 
-def with_size(rows: DataFrame) -> DataFrame:
-    """Members of buckets with at least two members, with their number ``n``."""
-    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rows.join(sizes, "path")
+def large_paths(level: DataFrame, small: int) -> DataFrame:
+    """``path, n`` of the buckets of more than ``small`` sets, ``LARGE_PATHS`` at most."""
+    sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small)
+    found = materialise(sizes, "large-paths")
+    limit = -(-(found.agg(F.sum("n")).first()[0] or 0) // LARGE_PATHS)
+    return found.where(F.col("n") > limit) if limit > small else found
+
+
+def alike_paths(level: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+    """``path, n, alike`` of large buckets: whether ``ALIKE`` of the sets have sketches close to that of one of them."""
+    rows = level.join(F.broadcast(large), "path")
+    pivots = materialise(rows.groupBy("path", "n").agg(F.min(F.struct("node", "s1", "s2")).alias("pivot")), "pivots")
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("pivot.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("pivot.s2")))
+    close = F.avg((apart <= most_unequal(threshold)).cast("int"))
+    judged = level.join(F.broadcast(pivots), "path").groupBy("path", "n").agg((close >= ALIKE).alias("alike"))
+    return materialise(judged, "large-paths-judged")
 
 
 def members_with_sets(docs: DataFrame, members: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -204,21 +225,55 @@ def members_with_sets(docs: DataFrame, members: DataFrame, size: int, id_col: st
     return map_batches(texts.select("node", "text"), run, "node binary, tokens binary", known)
 
 
-def deeper(docs: DataFrame, large: DataFrame, keys: DataFrame, size: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """The next level of large buckets: their members under the children that they draw."""
-    members = large.select("node").distinct().join(keys.select("node", "text_key"), "node")
-    sets = members_with_sets(docs, members, size, id_col, text_col)
-    rows = large.select("path", "node", "size", "s1", "s2").join(sets, "node")
+def children(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The next level: the members of buckets (``path, node, size, s1, s2``) under the children that they draw."""
+    held = rows.join(sets, "node")
 
     def run(batch: pa.RecordBatch):
         path, tokens = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         taken = [drawn(np.frombuffer(t, np.uint64), int(np.uint64(p & 0xFFFFFFFFFFFFFFFF)) ^ 0x5851F42D4C957F2D, threshold).view(np.int64) for p, t in zip(path.tolist(), tokens, strict=True)]
         yield taken, *(batch.column(i) for i in range(2, 6))
 
-    found = map_batches(rows.select("path", "tokens", "node", "size", "s1", "s2"), run, "paths array<long>, node binary, size long, s1 long, s2 long")
+    found = map_batches(held.select("path", "tokens", "node", "size", "s1", "s2"), run, "paths array<long>, node binary, size long, s1 long, s2 long")
+    return found.select(F.explode("paths").alias("path"), "node", "size", "s1", "s2")
+
+
+def first_children(nodes: DataFrame, sets: DataFrame, threshold: float, runs: range) -> DataFrame:
+    """The first level of further runs."""
+
+    def run(batch: pa.RecordBatch):
+        tokens = [np.frombuffer(t, np.uint64) for t in batch.column(0).to_pylist()]
+        yield [np.concatenate([drawn(t, r, threshold) for r in runs]).view(np.int64) for t in tokens], *(batch.column(i) for i in range(1, 5))
+
+    found = map_batches(nodes.join(sets, "node").select("tokens", "node", "size", "s1", "s2"), run, "paths array<long>, node binary, size long, s1 long, s2 long")
     return found.select(F.explode("paths").alias("path"), "node", "size", "s1", "s2")
 
 
+def split(level: DataFrame, sets_of, threshold: float, small: int) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Edges from all buckets below ``level``, the sets that were split beyond the levels planned for, and how deep they went.
+    ``sets_of`` gives the shingles of ``node``s; it is asked once, for those of the first large buckets."""
+    edges, sets, deep = [], None, None
+    for at in range(1, DEEPEST + 1):
+        large = large_paths(level, small)
+        if large.isEmpty():
+            edges.append(materialise(candidate_edges(level.withColumn("n", F.lit(1)), threshold), "candidate-edges"))
+            return edges, deep, at
+        judged = alike_paths(level, large, threshold) if at < DEEPEST else large.withColumn("alike", F.lit(True))
+        marked = level.join(F.broadcast(judged), "path", "left")
+        here = marked.where(F.coalesce("alike", F.lit(True))).withColumn("n", F.coalesce("n", F.lit(1)))
+        edges.append(materialise(candidate_edges(here.drop("alike"), threshold), "candidate-edges"))
+        if judged.where("not alike").isEmpty():
+            return edges, deep, at
+        rows = marked.where("not alike").drop("n", "alike")
+        if sets is None:
+            sets = materialise(sets_of(rows.select("node").distinct()), "bucket-sets")
+        if at >= DEPTH:
+            more = materialise(rows.select("node", "size", "s1", "s2").distinct(), "deep-sets")
+            deep = more if deep is None else deep
+        level = materialise(children(rows, sets, threshold), f"level-{at + 1}")
+    return edges, deep, DEEPEST
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two sets share. Shingles of a single set are left out, the others are counted in slabs."""
     n = len(sets)
@@ -248,8 +303,6 @@ def verified(groups: DataFrame, threshold: float) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, ["grp", "block1", "block2"]):
             node, own = group["node"], group["own"]
-            if len(node) < 2:
-                continue
             sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
             size = np.array([len(s) for s in sets], dtype=np.float64)
             common = overlaps(sets)
@@ -271,37 +324,38 @@ def verified(groups: DataFrame, threshold: float) -> DataFrame:
 
 
 def similarity_join(docs: DataFrame, words: int = WORDS, threshold: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id`` (the smallest id of all documents that links lead to), ``n_links`` (documents
-    with a similarity of at least ``threshold``, itself not counted), ``same_id`` (the smallest id with the same set of
-    shingles), ``n_shingles``.
+    """One row per document: ``doc_id``, ``class_id`` (one text for all documents that links lead to, and for no others; never
+    null), ``first_id`` (the smallest id among them), ``n_links`` (documents with a similarity of at least ``threshold``, itself
+    not counted), ``same_id`` (the smallest id with the same set of shingles), ``n_shingles``.
 
     Words: A-Z lower-cased, ASCII letters, digits and non-ASCII characters. A text of fewer than ``words`` words is a single
-    shingle. Null, empty and wordless texts have no shingles, no links and are alone. Repeated rows are documents of their
-    own with the same id. A null id counts as smallest, so that ``class_id`` is null where it belongs to the class; a lone
-    document keeps its own id. Links within a group are exact; a link between two texts that nothing else connects is missed
-    with a chance of at most 1 - ``recall`` at the threshold, far less above.
+    shingle. Null, empty and wordless texts have no shingles, no links and are each a class of their own. Repeated rows are
+    documents of their own with the same id; null ids are no smallest ids. ``class_id`` follows from the texts, so that neither
+    null nor repeated ids make two groups one. Links within a group are exact; a link between two texts that nothing else
+    connects is missed with a chance of at most 1 - ``recall`` at the threshold, far less above.
     """
-    depth = DEPTH
-    runs = runs_needed(recall, depth)
+    runs = runs_needed(recall, DEPTH)
     every = materialise(classes(docs, words, threshold, runs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "shingle-classes")
     held = every.where("size > 0")
     # One text stands for all with the same shingles.
     nodes = materialise(
         held.groupBy(F.col("same").alias("node")).agg(
-            F.count(F.lit(1)).alias("copies"), F.min("text_key").alias("text_key"), F.min(F.struct("doc_id")).alias("least"),
+            F.count(F.lit(1)).alias("copies"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("least"),
             F.first("size").alias("size"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("paths").alias("paths"),
         ),
         "nodes",
     )
-    level = materialise(with_size(nodes.select(F.explode("paths").alias("path"), "node", "size", "s1", "s2")), "level-1")
-    edges = []
-    for at in range(1, depth + 1):
-        large = level.where(F.col("n") > small)
-        last = at == depth or large.isEmpty()
-        edges.append(materialise(candidate_edges(level if last else level.where(F.col("n") <= small), threshold), "candidate-edges"))
-        if last:
-            break
-        level = materialise(with_size(deeper(docs, large, nodes, words, threshold, id_col, text_col)), f"level-{at + 1}")
+    text_keys = nodes.select("node", "text_key")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return members_with_sets(docs, wanted.join(text_keys, "node"), words, id_col, text_col)
+
+    edges, deep, depth = split(nodes.select(F.explode("paths").alias("path"), "node", "size", "s1", "s2"), sets_of, threshold, small)
+    if deep is not None:
+        # A path of more levels dies out more often, so the sets that had to go down there draw anew.
+        sets = materialise(sets_of(deep.select("node")), "deep-shingles")
+        again = materialise(first_children(deep, sets, threshold, range(runs, runs_needed(recall, depth))), "level-1-again")
+        edges += split(again, lambda _: sets, threshold, small)[0]
     found = edges[0]
     for more in edges[1:]:
         found = found.union(more)
@@ -314,15 +368,16 @@ def similarity_join(docs: DataFrame, words: int = WORDS, threshold: float = SIMI
     links = true.groupBy("node").agg(F.sum("links").alias("links"))
     group = components(true.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     located = nodes.select("node", "copies", "least").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = located.groupBy("component").agg(F.min("least").alias("class"))
+    smallest = located.groupBy("component").agg(F.min("least").alias("first_id"))
     info = located.join(smallest, "component").join(links, "node", "left").select(
-        F.col("node").alias("same"), F.col("class.doc_id").alias("class_id"), F.col("least.doc_id").alias("same_id"),
+        F.col("node").alias("same"), F.lower(F.hex("component")).alias("class_id"), "first_id", F.col("least").alias("same_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     alone = F.col("size") == 0
-    return every.select("doc_id", "same", "size").join(info, "same", "left").select(
+    return every.select("doc_id", "same", "size", "row").join(info, "same", "left").select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.concat(F.lit("row-"), F.col("row").cast("string"))).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("first_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("same_id")).alias("same_id"),
         F.col("size").alias("n_shingles"),

@@ -9,7 +9,7 @@ from kestrelwatch.llm.components import components
 
 
 def brute(docs, threshold=0.8):
-    """``(doc_id, class_id, n_links, same_id, n_shingles)`` for unique ids."""
+    """``(doc_id, first_id, n_links, same_id, n_shingles)`` for unique ids."""
     sets = [(i, frozenset(helpers.shingles(t))) for i, t in docs]
     links = {i: set() for i, _ in sets}
     for k, (i, a) in enumerate(sets):
@@ -30,7 +30,11 @@ def brute(docs, threshold=0.8):
 
 
 def rows(found):
-    return sorted((r.doc_id, r.class_id, r.n_links, r.same_id, r.n_shingles) for r in found.collect())
+    """Also asserts that a class has one key and a key stands for one class."""
+    found = found.collect()
+    keys = {(r.class_id, r.first_id) for r in found}
+    assert None not in {r.class_id for r in found} and len(keys) == len({k for k, _ in keys}) == len({i for _, i in keys})
+    return sorted((r.doc_id, r.first_id, r.n_links, r.same_id, r.n_shingles) for r in found)
 
 
 def near_copies(texts, rng, vocabulary=("zz", "yy", "xx")):
@@ -71,11 +75,46 @@ def test_against_brute_force(spark, monkeypatch, documents, small, block, few):
 def test_awkward_tables(spark):
     found = {(r.doc_id, r.n_shingles): r for r in chosen_path.similarity_join(helpers.awkward(spark)).collect()}
     assert chosen_path.similarity_join(helpers.awkward(spark)).count() == 10
-    assert found[1, 5].n_links == 1 and found[1, 5].class_id == 1
-    assert found[2, 0].class_id == 2 and found[2, 0].n_links == 0
+    assert found[1, 5].n_links == 1 and found[1, 5].first_id == 1
+    assert found[2, 0].first_id == 2 and found[2, 0].n_links == 0
     assert chosen_path.similarity_join(helpers.empty(spark)).collect() == []
     nulls = spark.createDataFrame([(None, "one two three four five six"), (7, "one two three four five six"), (8, None)], "doc_id long, text string")
-    assert {(r.doc_id, r.class_id, r.n_links) for r in chosen_path.similarity_join(nulls).collect()} == {(None, None, 1), (7, None, 1), (8, 8, 0)}
+    assert {(r.doc_id, r.first_id, r.n_links) for r in chosen_path.similarity_join(nulls).collect()} == {(None, 7, 1), (7, 7, 1), (8, 8, 0)}
+
+
+def test_null_and_repeated_ids_do_not_make_groups_one(spark):
+    one, other = "a first text of some six words", "and here are quite other words again"
+    third, fourth = "this text stands alone among all others", "two rows have this text and one id is taken"
+    texts = [(None, one), (1, one), (None, other), (2, other), (4, third), (4, fourth), (5, fourth), (None, None), (None, "")]
+    found = chosen_path.similarity_join(spark.createDataFrame(texts, "doc_id long, text string"))
+    members = {}
+    for r in found.collect():
+        members.setdefault(r.class_id, []).append((r.doc_id, r.first_id, r.n_links))
+    want = [[(1, 1, 1), (None, 1, 1)], [(2, 2, 1), (None, 2, 1)], [(4, 4, 0)], [(4, 4, 1), (5, 4, 1)], [(None, None, 0)], [(None, None, 0)]]
+    assert sorted((sorted(m, key=repr) for m in members.values()), key=repr) == sorted(want, key=repr) and None not in members
+
+
+def test_large_buckets_are_split_until_small_or_alike(spark, monkeypatch):
+    """Texts that share half of their words without being alike, and a group of near copies among them."""
+    rng = random.Random(6)
+
+    class Any:
+        pass
+
+    common, *own = helpers.corpus(Any, [60] + [60] * 60, seed=21)
+    texts = [f"{common} {o}" for o in own] + near_copies([f"{common} {own[0]}"] * 8, rng)
+    depths = []
+    split = chosen_path.split
+
+    def noted(*args):
+        out = split(*args)
+        depths.append(out[2])
+        return out
+
+    monkeypatch.setattr(chosen_path, "split", noted)
+    documents = list(enumerate(texts))
+    found = chosen_path.similarity_join(spark.createDataFrame(documents, "doc_id long, text string"), small=6)
+    assert rows(found) == brute(documents) and max(depths) > 2 and len(depths) == 2
 
 
 def test_runs_follow_from_the_recall():
