@@ -20,7 +20,7 @@ from kestrelwatch.session import materialise, work_dir
 from kestrelwatch.sources.readers import read_events, read_feed
 from kestrelwatch.sources.schema import discover_schema
 from kestrelwatch.sources.writers import run_available, store_events
-from kestrelwatch.streaming import detector, monitor
+from kestrelwatch.streaming import detector, keyed, monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -644,10 +644,11 @@ def stream_failure_outliers(spark, sf):
     return lines.select(F.regexp_replace("value", "^[^,]*", "").alias("value"))
 
 
-RUNS = """,
+RUN_ENDS = """,
 reach AS (SELECT min(epoch_us(ts)) AS first, (max(epoch_us(ts)) - min(epoch_us(ts))) // 5 + 1 AS width FROM events),
 ends AS (SELECT max(ts) AS t FROM events, reach GROUP BY (epoch_us(ts) - first) // width),
-runs AS (SELECT t, lag(t) OVER (ORDER BY t) AS before, row_number() OVER (ORDER BY t) AS k FROM ends),
+runs AS (SELECT t, lag(t) OVER (ORDER BY t) AS before, row_number() OVER (ORDER BY t) AS k FROM ends)"""
+RUNS = RUN_ENDS + """,
 tr AS (SELECT all_tr.* REPLACE (key || '#' || k AS key) FROM all_tr JOIN runs
        ON ts <= t AND (before IS NULL OR ts >= before - INTERVAL 102 HOUR))"""
 # Each run looks back from the run before as far as the rule set's horizon, 2 x 2 days and 6 hours, and judges what it could not before.
@@ -672,3 +673,22 @@ def stream_state_monitor(spark, sf):
         running.stop()
         raise TimeoutError("stream did not finish")
     return _opened(spark.read.parquet(f"{out}/alerts").drop("batch"))
+
+
+# The keyed monitor forgets nothing by itself: an opening is judged by its whole history, once, when its latency has passed.
+KEYED = S.missing(S.tr() + RUN_ENDS + S.WARN_SPANS, S.NOTHING_OPEN_WARN, "(SELECT min(t) FROM runs WHERE t > o.ts + INTERVAL 2 DAY)")
+
+
+@query(KEYED)
+def stream_state_monitor_keyed(spark, sf):
+    """The same stream with keyed state and timers in place of tables."""
+    out = work_dir(spark, "keyed-monitor")
+
+    def sink(found: DataFrame, batch_id: int) -> None:
+        keyed.missing(found).write.mode("overwrite").parquet(f"{out}/alerts/batch={batch_id}")
+
+    running = keyed.start(keyed.keyed_findings(_stream(spark, sf), tables.monitor_rules("warn")), sink, f"{out}/checkpoint", {"availableNow": True})
+    if not running.awaitTermination(600):
+        running.stop()
+        raise TimeoutError("stream did not finish")
+    return _opened(spark.read.parquet(f"{out}/alerts").drop("batch"))
