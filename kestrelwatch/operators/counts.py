@@ -59,17 +59,29 @@ def sliding_counts(events: DataFrame, size: str = "1 hour", slide: str = "10 min
     return steps.groupBy(F.window(F.col("step.start"), size, slide)).agg(F.sum("count").alias("count"))
 
 
-def rolling_counts(events: DataFrame, by: Sequence[str], seconds: int = 3600) -> DataFrame:
+def rolling_counts(events: DataFrame, by: Sequence[str], seconds: int = 3600, slice_seconds: int | None = None) -> DataFrame:
     """Per ``by`` and second with events: how many events in that second (``events``) and in the ``seconds`` up to and
-    including it (``rolling``). Events are counted per second first, so a window sees at most one row per second."""
+    including it (``rolling``). Events are counted per second first, so a window sees at most one row per second.
+
+    No window holds a whole key: histories are cut into slices of ``slice_seconds`` (eight frames), and a slice gets the
+    seconds of a frame's length before it as a halo, which is dropped again. So a slice never has more rows than it has
+    seconds, whatever the key, and only what lies in a halo is held twice.
+    """
+    length = slice_seconds or 8 * seconds
+    second = F.col("second")
     per_second = events.groupBy(*by, epoch_seconds(F.col(TS)).alias("second")).agg(F.count(F.lit(1)).alias("events"))
-    w = Window.partitionBy(*by).orderBy("second").rangeBetween(-seconds, 0)
-    return per_second.withColumn("rolling", F.sum("events").over(w))
+    own, last = F.floor(second / length).cast("long"), F.floor((second + seconds) / length).cast("long")
+    # Events without a time are a slice of their own.
+    slices = F.when(second.isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(own, last))
+    rows = per_second.withColumn("_slice", F.explode(slices))
+    w = Window.partitionBy(*by, "_slice").orderBy("second").rangeBetween(-seconds, 0)
+    rows = rows.withColumn("rolling", F.sum("events").over(w))
+    return rows.filter(F.col("_slice").eqNullSafe(own)).drop("_slice")
 
 
-def with_rolling_count(events: DataFrame, by: Sequence[str], seconds: int = 3600) -> DataFrame:
+def with_rolling_count(events: DataFrame, by: Sequence[str], seconds: int = 3600, slice_seconds: int | None = None) -> DataFrame:
     """Every event with the number of events of the same ``by`` in the ``seconds`` up to and including its own."""
-    counts = rolling_counts(events, by, seconds).drop("events")
+    counts = rolling_counts(events, by, seconds, slice_seconds).drop("events")
     counts = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "second", "rolling")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)])
     joined = events.join(counts, same & epoch_seconds(F.col(TS)).eqNullSafe(F.col("second")))

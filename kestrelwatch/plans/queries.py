@@ -105,6 +105,13 @@ def rolling_hour_counts(spark, sf):
     return counts.with_rolling_count(rows, ["key"]).withColumnRenamed("timestamp", "happened_at")
 
 
+@query(f"""WITH {S.EV}, s AS (SELECT key, CAST(floor(epoch(ts)) AS BIGINT) AS second, count(*) AS events FROM ev GROUP BY ALL)
+SELECT *, CAST(sum(events) OVER (PARTITION BY key ORDER BY second RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS rolling FROM s""")
+def rolling_day_counts_sliced(spark, sf):
+    """Slices as short as the frame: every row is in two of them."""
+    return counts.rolling_counts(tables.events(spark, sf).select("key", "timestamp"), ["key"], 86_400, 86_400)
+
+
 USER_OPERATIONS = f"""WITH {S.EV} SELECT key AS user, operation,
 count(*) FILTER (streamid IS NOT NULL AND eventid IS NOT NULL) AS events FROM ev GROUP BY ALL"""
 
@@ -371,6 +378,15 @@ def tag_distinct_limit(spark, sf):
     return found.filter("values > 2").select("key", F.col("window.start").alias("window_start"), "values")
 
 
+@query(f"""WITH {S.tr()}, moment AS (SELECT DISTINCT key, ts FROM tr WHERE open)
+SELECT a.key, a.ts AS happened_at, count(DISTINCT r.tag1) AS values FROM moment a JOIN tr r ON r.key = a.key AND r.open
+  AND r.ts > a.ts - INTERVAL 36 HOUR AND r.ts <= a.ts GROUP BY ALL HAVING count(DISTINCT r.tag1) > 2""")
+def tag_distinct_any_span(spark, sf):
+    rows = tables.stored_transitions(spark, sf, tables.monitor_rules())
+    found = tags.distinct_within(rows, "tag1", timedelta(hours=36), hot_keys(rows, "key"))
+    return found.filter("values > 2").withColumnRenamed("timestamp", "happened_at")
+
+
 LEVELS = """,
 sums AS (SELECT *, sum(CASE WHEN open THEN 1 ELSE -1 END) OVER (PARTITION BY key, tag1 ORDER BY ts, event_id) AS s
   FROM tr WHERE state = 'gate'),
