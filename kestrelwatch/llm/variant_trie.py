@@ -34,8 +34,8 @@ LEAST_COUNT = 3
 SLIP = 97
 #: Words below a node that make it part of the trunk, and visitors of a bucket that make it several tasks' work. The numbers grow
 #: with the vocabulary where there would otherwise be more than ``NODES`` such nodes on a level or such buckets.
-NODE_WORDS = 8192
-BUCKET_VISITORS = 65_536
+NODE_WORDS = 2048
+BUCKET_VISITORS = 16_384
 NODES = 20_000
 #: Pairs of nodes in a block of the search, and bytes of words compared at once.
 BLOCK = 1 << 17
