@@ -6,8 +6,10 @@ every shared class keeps one more for words that were never counted. The class i
 words before by the log-bilinear model: both have a vector, their sum times the vector of the class, plus a bias.
 
 Training contrasts every training token with classes drawn from the class frequencies. Each task trains a replica on its
-own documents, and replicas are averaged by their tokens; only averages of fixed size are moved. For scoring the model is
-normalised in full: batched matrix products give the sum over all classes for every pair of classes before.
+own documents, and replicas are averaged by their tokens, as arrays and in two steps, so that no task adds up all of them. For
+scoring the model is normalised in full: batched matrix products give the sum over all classes for every pair of classes
+before. That table is what bounds the number of classes: it has one number for each pair of classes before, and so do the two
+tables of scores, in every worker (see the README for figures).
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from kestrelwatch.llm.arrow import LOWER, id_and_text, map_batches, raw_texts, release, slices
 from kestrelwatch.session import materialise
 
-OWN_CLASSES = 383
-SHARED_CLASSES = 128
+OWN_CLASSES = 1535
+SHARED_CLASSES = 512
 CLASSES = 1 + OWN_CLASSES + SHARED_CLASSES
 END = 0
 DIM = 16
@@ -241,29 +243,41 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
                 stream, starts, _, _ = class_stream(raw[a:b], places, classes)
                 trainer.learn(stream, starts)
         if trainer.tokens:
-            flat = trainer.model.flat().astype(np.float64) * trainer.tokens
-            for at in range(0, len(flat), 512):
-                some = flat[at : at + 512]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(at, at + len(some)), pa.int32()), pa.array(some), pa.array(np.full(len(some), trainer.tokens, np.int64))], ["at", "value", "tokens"]
-                )
+            yield summed_row(TaskContext.get().partitionId(), trainer.model.flat() * np.float64(trainer.tokens), trainer.tokens)
         release(places)
 
-    replicas = docs.select("text").mapInArrow(run, "at int, value double, tokens long")
-    averaged = replicas.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
-    if not averaged:
-        return start
-    flat = np.zeros(len(start.flat()))
-    for row in averaged:
-        flat[row["at"]] = row["value"]
-    return start.filled(flat)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    replicas = docs.select("text").mapInArrow(run, REPLICA)
+    some = replicas.repartition(parts, F.col("task") % parts).mapInArrow(added, REPLICA)
+    found = some.repartition(1).mapInArrow(added, REPLICA).collect()
+    return start.filled(np.array(found[0]["sums"]) / found[0]["tokens"]) if found else start
+
+
+REPLICA = "task int, sums array<double>, tokens long"
+
+
+def summed_row(task: int, sums: np.ndarray, tokens: int) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array([0, len(sums)], pa.int32()), pa.array(sums))
+    return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), lists, pa.array([tokens], pa.int64())], ["task", "sums", "tokens"])
+
+
+def added(batches):
+    """One row with the sums of all; at no time are two of them held besides the sum."""
+    total, tokens, task = None, 0, 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own = batch.column(1).slice(i, 1).flatten().to_numpy()
+            total = own.copy() if total is None else total + own
+            tokens, task = tokens + batch.column(2)[i].as_py(), batch.column(0)[i].as_py()
+    if total is not None:
+        yield summed_row(task, total, tokens)
 
 
 def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: LogBilinear) -> DataFrame:
     """``row, doc_id, n_tokens, n_known, count_score`` (sum of log10(count + 1)) and ``score`` for every row."""
     spark = docs.sparkSession
     one, two, norm = model.tables()
-    shared = spark.sparkContext.broadcast((vocabulary.frequent, vocabulary.classes(), np.log10(vocabulary.counts + 1.0), (one / math.log(10)), (two / math.log(10)), norm / math.log(10), np.log10(vocabulary.class_totals), vocabulary.ends))
+    shared = spark.sparkContext.broadcast((vocabulary.frequent, vocabulary.classes(), np.log10(vocabulary.counts + 1.0), *((t / math.log(10)).astype(np.float32) for t in (one, two, norm)), np.log10(vocabulary.class_totals), vocabulary.ends))
     held: dict[str, Places] = {}
 
     def run(batch: pa.RecordBatch):
@@ -275,7 +289,7 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, model: Log
             i = np.flatnonzero(np.arange(len(stream)) >= 2)
             c, c1, c2 = stream[i], stream[i - 1], stream[i - 2]
             steps = np.zeros(len(stream))
-            steps[i] = one[c1, c] + two[c2, c] - norm[c1, c2] - log_totals[c]
+            steps[i] = one[c1, c].astype(np.float64) + two[c2, c] - norm[c1, c2] - log_totals[c]
             steps[starts - 1] = steps[starts - 2] = 0
             predicted = np.add.reduceat(steps, starts - 2)
             sizes = np.array([len(w) for w in words], dtype=np.int64)

@@ -98,6 +98,45 @@ def test_gradients_of_the_contrast():
             assert abs((up - down) / (2 * e) - g[at]) < 1e-3
 
 
+@pytest.mark.parametrize("frequent", [200_000, 40])
+def test_scores_are_sums_of_the_models_logarithms(spark, frequent):
+    """Every token's class from a softmax over all classes, then the word's share of its class, one token at a time."""
+    rng = np.random.default_rng(8)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).select("doc_id", "text").unionByName(helpers.awkward(spark).where("doc_id <> 5 or doc_id is null").select("doc_id", "text"))
+    counts = noise_lm.word_counts(docs.where("doc_id % 2 = 0")).persist()
+    v = noise_lm.Vocabulary.of(counts, docs.where("doc_id % 2 = 0").count(), frequent)
+    model = noise_lm.LogBilinear.new(v.frequencies())
+    model = model.filled(model.flat() + 0.3 * rng.standard_normal(len(model.flat())))
+    table = {r["word"].encode(): r["n"] for r in counts.collect()}
+    own = {w: k for k, w in enumerate(v.frequent[: noise_lm.OWN_CLASSES], 1)}
+
+    def plain(text):
+        words = (text or "").encode().translate(noise_lm.LOWER).split()
+        kinds = [own.get(w) or noise_lm.shared_class(w) for w in words] + [noise_lm.END]
+        shares = [table.get(w, 0) + 1 for w in words] + [v.ends + 1]
+        total, before = 0.0, [noise_lm.END, noise_lm.END]
+        for k, share in zip(kinds, shares):
+            s = (model.before[0][before[1]] + model.before[1][before[0]]).astype(np.float64) @ model.after.T.astype(np.float64) + model.bias
+            total += (s[k] - np.log(np.exp(s - s.max()).sum()) - s.max()) / math.log(10) + math.log10(share / v.class_totals[k])
+            before = [before[1], k]
+        return total
+
+    want = sorted((r.doc_id if r.doc_id is not None else -1, plain(r.text)) for r in docs.collect())
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r.score) for r in noise_lm.score(docs, counts, v, model).collect())
+    assert [i for i, _ in found] == [i for i, _ in want]
+    assert all(abs(a - b) <= 1e-4 * (1 + abs(b)) for (_, a), (_, b) in zip(found, want))
+
+
+def test_replicas_are_added_in_steps(spark):
+    import pyarrow as pa
+
+    rows = [(i, [float(i), 1.0, -i / 2], i + 1) for i in range(30)]
+    frame = spark.createDataFrame(rows, noise_lm.REPLICA).repartition(4)
+    (found,) = frame.mapInArrow(noise_lm.added, noise_lm.REPLICA).repartition(1).mapInArrow(noise_lm.added, noise_lm.REPLICA).collect()
+    assert found["sums"] == [435.0, 30.0, -217.5] and found["tokens"] == 465
+    assert list(noise_lm.added(iter([pa.RecordBatch.from_pylist([], schema=noise_lm.summed_row(0, np.zeros(1), 1).schema)]))) == []
+
+
 def test_scores_of_awkward_tables(spark):
     docs = helpers.awkward(spark)
     check_base(noise_lm.score_documents(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
