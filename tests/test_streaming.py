@@ -212,3 +212,55 @@ def test_the_store_stops_growing(spark, tmp_path):
     assert alerts == [[f"k{day}"] for day in range(7)]
     assert sizes[3] == sizes[4] == sizes[5] == sizes[6] and max(sizes[6].values()) <= 3
     assert monitor.folders(spark, str(tmp_path / "none")) == []
+
+
+def folder_count(path):
+    return sum(1 for p in path.rglob("*=*") if p.is_dir())
+
+
+def test_merged_levels_hold_what_was_written(spark, tmp_path, monkeypatch):
+    """Many runs: folders grow with the logarithm, nothing young is lost, what is old goes, a source that stays behind counts once."""
+    monkeypatch.setattr(monitor, "FAN", 2)
+    store = monitor.MonitorStore(spark, str(tmp_path / "s"), quiet=timedelta(hours=6))
+    hour, horizon, start = timedelta(hours=1), timedelta(hours=8), T0.astimezone()
+    columns = "key string, timestamp timestamp, state string, open boolean, tag1 string, tag2 string, tag3 string, eventid string, streamid string"
+    counts = []
+    for n in range(22):
+        now = start + n * hour
+        row = (f"k{n}", now, "main", True, None, None, None, str(n), "s")
+        store.append(spark.createDataFrame([row, row], columns), n)
+        judged = spark.createDataFrame([row], columns).drop("open").selectExpr("*", "'vpn' required_state", "true emitted")
+        judged.write.parquet(f"{store.path}/judged/run={n}")
+        spark.createDataFrame([(f"k{n}", monitor._micros(now))], "key string, at long").write.parquet(f"{store.path}/warned/run={n}")
+        spark.createDataFrame([(now, n)], "as_of timestamp, arrival long").write.parquet(f"{store.path}/log/run={n}")
+        if n:
+            last = monitor.Run(n - 1, now - hour, n - 1)
+            store.merge(last, horizon)
+            store.expire(last, horizon)
+            counts.append(folder_count(tmp_path / "s"))
+    assert max(counts[14:]) <= 1.3 * max(counts[:14])
+    rules = type("Rules", (), {"horizon": horizon, "requiring": []})
+    young = {f"k{n}" for n in range(20 - 8, 22)}
+    assert young <= {r.key for r in store.transitions(rules, None, 21, start).collect()}
+    assert {r.key for r in store.judged(rules, last).collect()} == {f"k{n}" for n in range(20 - 8, 21)}
+    assert {r.key for r in store.warned(last).collect()} == {f"k{n}" for n in range(20 - 6, 21)}
+    kept = {r.key for r in spark.read.parquet(f"{store.path}/warned-merged").collect()}
+    assert "k0" not in kept
+
+
+def test_a_key_is_warned_about_again_after_quiet(spark, tmp_path):
+    """An ambiguous close every ten hours, with a horizon of four: with ``quiet`` of a day only some are new, without one only the first."""
+    import dataclasses
+
+    warn = dataclasses.replace(RULES, alerting_delay=timedelta(0), states=tuple(dataclasses.replace(s, strategy="warn") for s in RULES.states))
+    columns = "key string, timestamp timestamp, state string, open boolean, tag1 string, tag2 string, tag3 string, eventid string, streamid string"
+    found = {}
+    for name, quiet in (("day", timedelta(days=1)), ("ever", None)):
+        store = monitor.MonitorStore(spark, str(tmp_path / name), quiet)
+        for n in range(5):
+            now = T0 + timedelta(hours=10 * n)
+            rows = [("u", now + timedelta(minutes=i), "vpn", i < 2, "A", None, None, f"{n}-{i}", "s") for i in range(3)]
+            store.append(spark.createDataFrame(rows, columns), n)
+            _, warnings = store.run(warn, (now + timedelta(hours=9)).astimezone(), n)
+            found.setdefault(name, []).append(warnings.count())
+    assert found == {"day": [1, 0, 0, 1, 0], "ever": [1, 0, 0, 0, 0]}
