@@ -20,7 +20,7 @@ from kestrelwatch.session import materialise, work_dir
 from kestrelwatch.sources.readers import read_events, read_feed
 from kestrelwatch.sources.schema import discover_schema
 from kestrelwatch.sources.writers import run_available, store_events
-from kestrelwatch.streaming import detector, keyed, monitor
+from kestrelwatch.streaming import detector, keyed, monitor, rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -708,3 +708,44 @@ def stream_state_monitor_keyed(spark, sf):
         running.stop()
         raise TimeoutError("stream did not finish")
     return _opened(spark.read.parquet(f"{out}/alerts").drop("batch"))
+
+
+# Hours as the stream saw them grow: the first part after which an hour is unusual reports it, with what was counted until then.
+ONCE = f"""WITH {HOURS} {RUN_ENDS}, means AS (SELECT day, hour, avg(count) AS prediction FROM h GROUP BY ALL),
+grown AS (SELECT k, date_trunc('hour', ts) AS window_start, count(*) AS count FROM fail JOIN runs ON ts <= t GROUP BY ALL),
+unusual AS (SELECT g.*, row_number() OVER (PARTITION BY window_start ORDER BY k) AS nr, prediction FROM grown g JOIN h USING (window_start)
+  JOIN means USING (day, hour) WHERE g.count > prediction * 1.5 AND g.count > 5),
+once AS (SELECT * FROM unusual WHERE nr = 1)"""
+
+
+def _reported(spark, sf):
+    """The hours that the stream reports, and their references, as written batch by batch."""
+    out = work_dir(spark, "rates")
+    hourly = counts.tumbling_counts(_failures(spark, sf))
+    means = materialise(outliers.mean_per_hour_of_week(hourly), "means")
+    log = rates.HourLog(spark, f"{out}/log")
+
+    def sink(hours: DataFrame, batch: int) -> None:
+        hours.select(F.col("window.start").alias("window_start"), "count", F.round("prediction", 6).alias("prediction")).write.mode("overwrite").parquet(f"{out}/hours/batch={batch}")
+        log.refs(hours, batch).select(F.col("window.start").alias("window_start"), "eventref").write.mode("overwrite").parquet(f"{out}/refs/batch={batch}")
+
+    running = rates.rate_alerts_once(
+        _stream(spark, sf), lambda hours: outliers.predict_mean(hours, means), log, sink, f"{out}/checkpoint", factor=1.5, floor=5, trigger={"availableNow": True}
+    )
+    if not running.awaitTermination(600):
+        running.stop()
+        raise TimeoutError("stream did not finish")
+    return spark.read.parquet(f"{out}/hours").drop("batch"), spark.read.parquet(f"{out}/refs").drop("batch")
+
+
+@query(f"{ONCE} SELECT window_start, count, round(prediction, 6) AS prediction FROM once")
+def stream_alerts_once(spark, sf):
+    """Every unusual hour once, with its count when it was first unusual."""
+    return _reported(spark, sf)[0]
+
+
+@query(f"{ONCE} SELECT o.window_start, f.streamid || ':' || f.eventid AS eventref FROM once o JOIN runs USING (k) "
+       "JOIN fail f ON date_trunc('hour', f.ts) = o.window_start AND f.ts <= t")
+def stream_failure_refs(spark, sf):
+    """The references behind these counts, one row each, from the rows that the stream counted."""
+    return _reported(spark, sf)[1]
