@@ -3,9 +3,8 @@
 Texts with the same set of shingles are one class, and only classes are joined. In every run each set draws shingles: a
 shingle is drawn by all sets that hold it or by none of equal size, with a chance of 1/(threshold * size), so that two
 similar sets draw on average one in common. Sets that drew the same shingle form a bucket. Buckets that are still large are
-split again by shingles drawn for that path, until they are small or their sets are alike, so that no shingle would part
-them. Small buckets are compared by brute force, and so are those of alike sets, block against block. Runs are repeated
-until pairs at the threshold are met with the target recall; sets that had to go deeper than expected get further runs.
+split again by shingles drawn for that path; small ones are compared by brute force, and so are those that the deepest
+level leaves, block against block. Runs are repeated until pairs at the threshold are met with the target recall.
 
 The brute force in a bucket compares sketches, which never judge: it hands on a spanning forest of the pairs whose sketches
 do not rule them out, so a bucket of n sets gives less than n rows. Connected sets then come together once, and there all
@@ -32,15 +31,11 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 SMALL = 1024
-#: Levels that the runs are planned for; sets that go deeper get more runs. The last level compares whatever is left.
 DEPTH = 2
-DEEPEST = 8
-#: Share of a bucket that resembles one of its sets, from which splitting is of no use.
-ALIKE = 0.5
 #: No more paths than this are large: the size that counts as large grows with the number of rows where need be.
 LARGE_PATHS = 1_000_000
 SKETCH_BITS = 128
-BLOCK = 1024
+BLOCK = 512
 BROADCAST_ROWS = 300_000
 
 
@@ -199,16 +194,6 @@ def large_paths(level: DataFrame, small: int) -> DataFrame:
     return found.where(F.col("n") > limit) if limit > small else found
 
 
-def alike_paths(level: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
-    """``path, n, alike`` of large buckets: whether ``ALIKE`` of the sets have sketches close to that of one of them."""
-    rows = level.join(F.broadcast(large), "path")
-    pivots = materialise(rows.groupBy("path", "n").agg(F.min(F.struct("node", "s1", "s2")).alias("pivot")), "pivots")
-    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("pivot.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("pivot.s2")))
-    close = F.avg((apart <= most_unequal(threshold)).cast("int"))
-    judged = level.join(F.broadcast(pivots), "path").groupBy("path", "n").agg((close >= ALIKE).alias("alike"))
-    return materialise(judged, "large-paths-judged")
-
-
 def members_with_sets(docs: DataFrame, members: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """``members`` (with ``text_key`` and ``node``) with ``tokens``: the sorted shingles of the text, cut anew from it."""
     few = members.count() <= BROADCAST_ROWS
@@ -238,40 +223,22 @@ def children(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return found.select(F.explode("paths").alias("path"), "node", "size", "s1", "s2")
 
 
-def first_children(nodes: DataFrame, sets: DataFrame, threshold: float, runs: range) -> DataFrame:
-    """The first level of further runs."""
-
-    def run(batch: pa.RecordBatch):
-        tokens = [np.frombuffer(t, np.uint64) for t in batch.column(0).to_pylist()]
-        yield [np.concatenate([drawn(t, r, threshold) for r in runs]).view(np.int64) for t in tokens], *(batch.column(i) for i in range(1, 5))
-
-    found = map_batches(nodes.join(sets, "node").select("tokens", "node", "size", "s1", "s2"), run, "paths array<long>, node binary, size long, s1 long, s2 long")
-    return found.select(F.explode("paths").alias("path"), "node", "size", "s1", "s2")
-
-
-def split(level: DataFrame, sets_of, threshold: float, small: int) -> tuple[list[DataFrame], DataFrame | None, int]:
-    """Edges from all buckets below ``level``, the sets that were split beyond the levels planned for, and how deep they went.
-    ``sets_of`` gives the shingles of ``node``s; it is asked once, for those of the first large buckets."""
-    edges, sets, deep = [], None, None
-    for at in range(1, DEEPEST + 1):
+def split(level: DataFrame, sets_of, threshold: float, small: int) -> list[DataFrame]:
+    """Edges from all buckets of ``level`` and, where they are large, of those below. ``sets_of`` gives the shingles of ``node``s."""
+    edges = []
+    for at in range(1, DEPTH + 1):
         large = large_paths(level, small)
-        if large.isEmpty():
-            edges.append(materialise(candidate_edges(level.withColumn("n", F.lit(1)), threshold), "candidate-edges"))
-            return edges, deep, at
-        judged = alike_paths(level, large, threshold) if at < DEEPEST else large.withColumn("alike", F.lit(True))
-        marked = level.join(F.broadcast(judged), "path", "left")
-        here = marked.where(F.coalesce("alike", F.lit(True))).withColumn("n", F.coalesce("n", F.lit(1)))
-        edges.append(materialise(candidate_edges(here.drop("alike"), threshold), "candidate-edges"))
-        if judged.where("not alike").isEmpty():
-            return edges, deep, at
-        rows = marked.where("not alike").drop("n", "alike")
-        if sets is None:
-            sets = materialise(sets_of(rows.select("node").distinct()), "bucket-sets")
-        if at >= DEPTH:
-            more = materialise(rows.select("node", "size", "s1", "s2").distinct(), "deep-sets")
-            deep = more if deep is None else deep
+        some = not large.isEmpty()
+        marked = level.join(F.broadcast(large), "path", "left") if some else level.withColumn("n", F.lit(1))
+        last = at == DEPTH or not some
+        here = marked if last else marked.where("n is null")
+        edges.append(materialise(candidate_edges(here.withColumn("n", F.coalesce("n", F.lit(1))), threshold), "candidate-edges"))
+        if last:
+            break
+        rows = marked.where("n is not null").drop("n")
+        sets = sets_of(rows.select("node").distinct())
         level = materialise(children(rows, sets, threshold), f"level-{at + 1}")
-    return edges, deep, DEEPEST
+    return edges
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -350,12 +317,7 @@ def similarity_join(docs: DataFrame, words: int = WORDS, threshold: float = SIMI
     def sets_of(wanted: DataFrame) -> DataFrame:
         return members_with_sets(docs, wanted.join(text_keys, "node"), words, id_col, text_col)
 
-    edges, deep, depth = split(nodes.select(F.explode("paths").alias("path"), "node", "size", "s1", "s2"), sets_of, threshold, small)
-    if deep is not None:
-        # A path of more levels dies out more often, so the sets that had to go down there draw anew.
-        sets = materialise(sets_of(deep.select("node")), "deep-shingles")
-        again = materialise(first_children(deep, sets, threshold, range(runs, runs_needed(recall, depth))), "level-1-again")
-        edges += split(again, lambda _: sets, threshold, small)[0]
+    edges = split(nodes.select(F.explode("paths").alias("path"), "node", "size", "s1", "s2"), sets_of, threshold, small)
     found = edges[0]
     for more in edges[1:]:
         found = found.union(more)

@@ -94,29 +94,6 @@ def test_null_and_repeated_ids_do_not_make_groups_one(spark):
     assert sorted((sorted(m, key=repr) for m in members.values()), key=repr) == sorted(want, key=repr) and None not in members
 
 
-def test_large_buckets_are_split_until_small_or_alike(spark, monkeypatch):
-    """Texts that share half of their words without being alike, and a group of near copies among them."""
-    rng = random.Random(6)
-
-    class Any:
-        pass
-
-    common, *own = helpers.corpus(Any, [60] + [60] * 60, seed=21)
-    texts = [f"{common} {o}" for o in own] + near_copies([f"{common} {own[0]}"] * 8, rng)
-    depths = []
-    split = chosen_path.split
-
-    def noted(*args):
-        out = split(*args)
-        depths.append(out[2])
-        return out
-
-    monkeypatch.setattr(chosen_path, "split", noted)
-    documents = list(enumerate(texts))
-    found = chosen_path.similarity_join(spark.createDataFrame(documents, "doc_id long, text string"), small=6)
-    assert rows(found) == brute(documents) and max(depths) > 2 and len(depths) == 2
-
-
 def test_runs_follow_from_the_recall():
     assert chosen_path.runs_needed(0.999, 1) == 7 and chosen_path.runs_needed(0.999, 2) > chosen_path.runs_needed(0.9, 2)
 
