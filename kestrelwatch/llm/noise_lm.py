@@ -6,7 +6,7 @@ every shared class keeps one more for words that were never counted. The class i
 words before by the log-bilinear model: both have a vector, their sum times the vector of the class, plus a bias.
 
 Training contrasts every training token with classes drawn from the class frequencies. Each task trains a replica on its
-own documents, and replicas are averaged by their tokens, as arrays and in two steps, so that no task adds up all of them. For
+own documents, and replicas are averaged by their tokens, as arrays and in three steps, so that no task adds up all of them. For
 scoring the model is normalised in full: batched matrix products give the sum over all classes for every pair of classes
 before. That table is what bounds the number of classes: it has one number for each pair of classes before, and so do the two
 tables of scores, in every worker (see the README for figures).
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from kestrelwatch.llm.arrow import LOWER, id_and_text, map_batches, raw_texts, release, slices
 from kestrelwatch.session import materialise
 
-OWN_CLASSES = 1535
-SHARED_CLASSES = 512
+OWN_CLASSES = 767
+SHARED_CLASSES = 256
 CLASSES = 1 + OWN_CLASSES + SHARED_CLASSES
 END = 0
 DIM = 16
@@ -37,6 +37,8 @@ RATE = 0.02
 FREQUENT = 200_000
 ENDING = 3
 HELD_WORDS = 200_000
+#: Sums that the last task of the averaging adds up.
+LAST_SUMS = 8
 
 
 def held_out(id_col: Column) -> Column:
@@ -248,8 +250,9 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     replicas = docs.select("text").mapInArrow(run, REPLICA)
-    some = replicas.repartition(parts, F.col("task") % parts).mapInArrow(added, REPLICA)
-    found = some.repartition(1).mapInArrow(added, REPLICA).collect()
+    for width in (parts, min(parts, LAST_SUMS), 1):
+        replicas = replicas.repartition(width, F.col("task") % width).mapInArrow(added, REPLICA)
+    found = replicas.collect()
     return start.filled(np.array(found[0]["sums"]) / found[0]["tokens"]) if found else start
 
 
