@@ -19,7 +19,7 @@ from kestrelwatch.plans import tables
 from kestrelwatch.session import materialise, work_dir
 from kestrelwatch.sources.readers import read_events, read_feed
 from kestrelwatch.sources.schema import discover_schema
-from kestrelwatch.sources.writers import run_available, store_events
+from kestrelwatch.sources.writers import finish, run_available, store_events
 from kestrelwatch.streaming import detector, keyed, monitor, rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -653,9 +653,7 @@ def stream_failure_outliers(spark, sf):
         _stream(spark, sf), features, model, sink, f"{out}/checkpoint", tables.events(spark, sf),
         factor=1, floor=5, trigger={"availableNow": True},
     )
-    if not query.awaitTermination(600):
-        query.stop()
-        raise TimeoutError("stream did not finish")
+    finish(query)
     lines = spark.read.parquet(f"{out}/alerts")
     return lines.select(F.regexp_replace("value", "^[^,]*", "").alias("value"))
 
@@ -685,9 +683,7 @@ def stream_state_monitor(spark, sf):
         _stream(spark, sf), rules, f"{out}/store", f"{out}/checkpoint", sink, monitor.event_clock(),
         trigger={"availableNow": True},
     )
-    if not running.awaitTermination(600):
-        running.stop()
-        raise TimeoutError("stream did not finish")
+    finish(running)
     return _opened(spark.read.parquet(f"{out}/alerts").drop("batch"))
 
 
@@ -704,9 +700,7 @@ def stream_state_monitor_keyed(spark, sf):
         keyed.missing(found).write.mode("overwrite").parquet(f"{out}/alerts/batch={batch_id}")
 
     running = keyed.start(keyed.keyed_findings(_stream(spark, sf), tables.monitor_rules("warn")), sink, f"{out}/checkpoint", {"availableNow": True})
-    if not running.awaitTermination(600):
-        running.stop()
-        raise TimeoutError("stream did not finish")
+    finish(running)
     return _opened(spark.read.parquet(f"{out}/alerts").drop("batch"))
 
 
@@ -732,9 +726,7 @@ def _reported(spark, sf):
     running = rates.rate_alerts_once(
         _stream(spark, sf), lambda hours: outliers.predict_mean(hours, means), log, sink, f"{out}/checkpoint", factor=1.5, floor=5, trigger={"availableNow": True}
     )
-    if not running.awaitTermination(600):
-        running.stop()
-        raise TimeoutError("stream did not finish")
+    finish(running)
     return spark.read.parquet(f"{out}/hours").drop("batch"), spark.read.parquet(f"{out}/refs").drop("batch")
 
 

@@ -82,9 +82,10 @@ def memory_stream(df: DataFrame, name: str, mode: str = "update") -> StreamingQu
 
 
 def run_available(
-    df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timeout: int = 600
+    df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timeout: int | None = None
 ) -> None:
-    """Process what a stream's source holds now, then stop."""
+    """Process what a stream's source holds now, then stop. How long that takes grows with the source, so there is no limit
+    unless a ``timeout`` in seconds is given."""
     query = (
         df.writeStream.outputMode(mode)
         .foreachBatch(write)
@@ -92,6 +93,13 @@ def run_available(
         .trigger(availableNow=True)
         .start()
     )
-    if not query.awaitTermination(timeout):
+    finish(query, timeout)
+
+
+def finish(query: StreamingQuery, timeout: int | None = None) -> None:
+    """Wait until a query that processes what there is has come to its end. Its failure is raised."""
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError(f"stream still running after {timeout} s")

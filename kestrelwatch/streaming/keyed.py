@@ -1,25 +1,34 @@
 """The state monitor as keyed state with event-time timers.
 
-``monitor.monitor_stream`` judges tables, run by run. Here every sub-key has its own small state instead, and a batch touches
-only the sub-keys that got rows or whose timer went off. A sub-key is a key together with the tags that all opens and closes of
-the monitored states and all openings that look for them set: rows that differ in one of those never meet, so the state of a
-busy key is dealt over as many sub-keys as it has tag values.
-
-State of a sub-key:
-  waiting  list: rows that the watermark has not passed. Nothing can come before a row that it has passed, so rows are replayed
-           in their order, whatever order they arrived in.
-  opened   list: what is open, by state and tags. Under ``warn`` alike opens are one entry with a number, since from the second
-           on no close can tell them apart; so it is bounded by the combinations of tags.
-  seen     value: the time of the latest replayed row, and whether the sub-key has been warned about.
-One timer per sub-key stands at its earliest waiting row, or else at the time when it is forgotten.
+``monitor.monitor_stream`` judges tables, run by run. Here sub-keys have their own small histories instead, and a batch touches
+only those near the ones that got rows or whose time has come. A sub-key is a key together with the tags that all opens and
+closes of the monitored states and all openings that look for them set: rows that differ in one of those never meet, so the
+state of a busy key is dealt over as many sub-keys as it has tag values.
+
+Every call on state goes to the JVM and back, some twenty for a key and batch, and costs more than replaying a sub-key's few
+rows. So the key of the state is a group, one of a fixed number into which sub-keys are dealt by hash; its calls serve all of its
+sub-keys at once, and their number does not grow with the keys. For the same reason an element of a list is a JSON array of many
+rows, and rows come in as JSON: a value that crosses by itself costs a hundred times what it costs in a text.
+
+State of a group:
+  waiting    list: rows that the watermark has not passed. Nothing can come before a row that it has passed, so the rows of a
+             sub-key are replayed in their order, whatever order they arrived in.
+  histories  list: one row per sub-key. The time of its latest replayed row, whether it has been warned about, and what is open,
+             by state and tags. Under ``warn`` alike opens are one entry with a number, since from the second on no close can
+             tell them apart; so it is bounded by the combinations of tags.
+One timer per group stands at its earliest waiting row, or at the time when the first sub-key is forgotten if that comes earlier.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from functools import reduce
+from itertools import batched
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -37,10 +46,39 @@ OUTPUT = (
     "kind string, key string, timestamp timestamp, state string, tag1 string, tag2 string, tag3 string, eventid string, streamid string, "
     "required_state string, ambiguous_opens long"
 )
-WAITING = "at long, streamid string, eventid string, open boolean, rank int, tag1 string, tag2 string, tag3 string"
-OPENED = "rank int, tag1 string, tag2 string, tag3 string, at long, n long"
-SEEN = "at long, warned boolean"
-FINDING, HELD = (Row(*(part.split()[0] for part in schema.split(", "))) for schema in (OUTPUT, WAITING))
+#: An element of the two list states: a JSON array of at most ``SENT`` rows.
+ROWS = "rows string"
+FINDING = Row(*(part.split()[0] for part in OUTPUT.split(", ")))
+
+#: Into how many groups sub-keys are dealt. A batch reads the whole state of a group that it touches.
+GROUPS = 4096
+#: Rows in an element of state.
+SENT = 10_000
+
+
+class Held(NamedTuple):
+    """A row of ``waiting``."""
+
+    key: str | None
+    sub: str
+    at: int
+    streamid: str | None
+    eventid: str | None
+    open: bool
+    rank: int
+    tag1: str | None
+    tag2: str | None
+    tag3: str | None
+
+    @classmethod
+    def of(cls, words: list[str | None]) -> Held:
+        key, sub, at, streamid, eventid, opens, rank, *tags = words
+        return cls(key, sub, int(at), streamid, eventid, opens == "true", int(rank), *tags)
+
+    def words(self) -> list[str | None]:
+        """As ``keyed_findings`` gives them."""
+        return [self.key, self.sub, str(self.at), self.streamid, self.eventid, "true" if self.open else "false", str(self.rank), *self[7:]]
+
 
 
 def common_tags(rules: RuleSet) -> tuple[str, ...]:
@@ -88,7 +126,7 @@ def _time(micros: int) -> datetime:
     return datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=micros)
 
 
-def place(row: Row) -> tuple:
+def place(row: Held) -> tuple:
     """Where a row stands in the history: the order of the batch monitor, nulls first."""
     words = [(w is not None, w or "") for w in (row.streamid, row.eventid)]
     return (row.at, *words, not row.open, row.rank, *((t is not None, t or "") for t in (row.tag1, row.tag2, row.tag3)))
@@ -133,7 +171,7 @@ class Opened:
         self.entries = [e for e in self.entries if e[4] >= before or self.plan.strategies[e[0]] == WARN]
 
 
-def replay(plan: Plan, opened: Opened, rows: list[Row], as_of: int, warned: bool) -> Iterator[tuple[Row, str | None, int | None]]:
+def replay(plan: Plan, opened: Opened, rows: list[Held], as_of: int, warned: bool) -> Iterator[tuple[Held, str | None, int | None]]:
     """Rows with what they give rise to: a missing state for an opening, or a number of opens for the first ambiguous close."""
     before = None
     for row in rows:
@@ -159,20 +197,38 @@ def replay(plan: Plan, opened: Opened, rows: list[Row], as_of: int, warned: bool
                 break
 
 
+def store(state, rows: Iterable[list]) -> None:
+    """Replaces a list state."""
+    parts = [(json.dumps(part),) for part in batched(rows, SENT)]
+    if parts:
+        state.put(parts)
+    else:
+        state.clear()
+
+
+def stored(state) -> Iterator[list]:
+    for (rows,) in state.get():
+        yield from json.loads(rows)
+
+
 class Monitor(StatefulProcessor):
     def __init__(self, plan: Plan) -> None:
         self.plan = plan
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", WAITING)
-        self.opened = handle.getListState("opened", OPENED)
-        self.seen = handle.getValueState("seen", SEEN)
+        self.waiting = handle.getListState("waiting", ROWS)
+        self.histories = handle.getListState("histories", ROWS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        fresh = [(r.at, r.streamid, r.eventid, r.open, r.rank, r.tag1, r.tag2, r.tag3) for r in rows]
-        self.waiting.appendList(fresh)
-        self.wake(min(r[0] for r in fresh) // 1000 + 1)
+        first = None
+        for some in batched(rows, SENT):
+            some = list(some)
+            self.waiting.appendValue((f"[{','.join(r.row for r in some)}]",))
+            earliest = min(r.at for r in some)
+            first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self.wake(first // 1000 + 1)
         return iter(())
 
     def wake(self, millis: int) -> None:
@@ -186,55 +242,46 @@ class Monitor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((HELD(*r) for r in self.waiting.get()), key=place) if self.waiting.exists() else []
-        ready = [r for r in rows if r.at <= passed]
-        later = rows[len(ready) :]
-        seen = self.seen.get() if self.seen.exists() else None
-        last, warned = (seen[0], seen[1]) if seen else (None, False)
         keep = self.plan.keep
-        if not ready:
-            if not later and keep is not None and last is not None and last + keep <= passed:
-                for state in (self.waiting, self.opened, self.seen):
-                    state.clear()
-            elif later:
-                self.handle.registerTimer(later[0].at // 1000 + 1)
-            elif keep is not None and last is not None:
-                self.handle.registerTimer((last + keep) // 1000 + 1)
-            return
-        opened = Opened(self.plan, [list(e) for e in self.opened.get()] if self.opened.exists() else [])
-        if keep is not None and last is not None and ready[0].at - last > keep:
-            # Quiet for longer than things are kept: begun anew, whether the timer came first or not.
-            opened, warned = Opened(self.plan, []), False
-        runs = [ready]
+        ready: dict[tuple, list[Held]] = defaultdict(list)
+        later = []
+        for held in map(Held.of, stored(self.waiting)):
+            if held.at <= passed:
+                ready[held.key, held.sub].append(held)
+            else:
+                later.append(held)
+        histories = {(k, sub): rest for k, sub, *rest in stored(self.histories)}
+        for sub, rows in ready.items():
+            rows.sort(key=place)
+            last, warned, entries = histories.get(sub, (None, False, ()))
+            opened = Opened(self.plan, list(entries))
+            cuts = [] if keep is None else [i for i in range(1, len(rows)) if rows[i].at - rows[i - 1].at > keep]
+            anew = keep is not None and last is not None and rows[0].at - last > keep
+            for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+                if a or anew:
+                    # Quiet for longer than things are kept: begun anew, whether the timer came first or not.
+                    opened, warned = Opened(self.plan, []), False
+                for row, need, number in replay(self.plan, opened, rows[a:b], passed + self.plan.delay, warned):
+                    warned = warned or number is not None
+                    kind = "ambiguous" if need is None else "missing"
+                    yield FINDING(kind, row.key, _time(row.at), self.plan.names[row.rank], row.tag1, row.tag2, row.tag3, row.eventid, row.streamid, need, number)
+            histories[sub] = [rows[-1].at, warned, opened.entries]
+        if ready:
+            store(self.waiting, [h.words() for h in later])
+        if keep is not None:
+            histories = {sub: h for sub, h in histories.items() if h[0] + keep > passed}
+        store(self.histories, [[*sub, *h] for sub, h in histories.items()])
+        times = [h.at for h in later]
         if keep is not None:
-            cuts = [i for i in range(1, len(ready)) if ready[i].at - ready[i - 1].at > keep]
-            runs = [ready[a:b] for a, b in zip([0, *cuts], [*cuts, len(ready)], strict=True)]
-        for i, part in enumerate(runs):
-            if i:
-                opened, warned = Opened(self.plan, []), False
-            for row, need, number in replay(self.plan, opened, part, passed + self.plan.delay, warned):
-                warned = warned or number is not None
-                kind = "ambiguous" if need is None else "missing"
-                yield FINDING(kind, key[0], _time(row.at), self.plan.names[row.rank], row.tag1, row.tag2, row.tag3, row.eventid, row.streamid, need, number)
-        if later:
-            self.waiting.put([tuple(r) for r in later])
-        else:
-            self.waiting.clear()
-        if opened.entries:
-            self.opened.put([tuple(e) for e in opened.entries])
-        elif self.opened.exists():
-            self.opened.clear()
-        self.seen.update((ready[-1].at, warned))
-        if later:
-            self.handle.registerTimer(later[0].at // 1000 + 1)
-        elif keep is not None:
-            self.handle.registerTimer((ready[-1].at + keep) // 1000 + 1)
+            times += [h[0] + keep for h in histories.values()]
+        if times:
+            self.handle.registerTimer(min(times) // 1000 + 1)
 
     def close(self) -> None:
         pass
 
 
-def keyed_findings(events: DataFrame, rules: RuleSet, keep: timedelta | None = None) -> DataFrame:
+def keyed_findings(events: DataFrame, rules: RuleSet, keep: timedelta | None = None, groups: int = GROUPS) -> DataFrame:
     """A stream of findings for a stream of parsed events, in append mode: rows of ``kind`` ``missing`` (an opening without the
     ``required_state``) and ``ambiguous`` (the first close of a sub-key that found ``ambiguous_opens`` opens), with the columns
     of the transition.
@@ -246,6 +293,9 @@ def keyed_findings(events: DataFrame, rules: RuleSet, keep: timedelta | None = N
     ``keep``: what is forgotten. An open of a ``pop`` or ``close`` state counts no longer than that, and a sub-key that is quiet
     for longer begins anew; so the state holds only what is recent. None keeps everything.
 
+    ``groups``: into how many groups sub-keys are dealt; a checkpoint belongs to one number. What one group holds must fit into a
+    task, so take more where there are more than some millions of sub-keys or waiting rows.
+
     A row without one of ``common_tags`` belongs to no sub-key and is an error; give rules in which not everything sets that
     tag, and keys are no longer split by it. Rows without a time cannot be placed and are left out; a null key is a key.
     """
@@ -261,11 +311,14 @@ def keyed_findings(events: DataFrame, rules: RuleSet, keep: timedelta | None = N
     for tag in tags:
         there = F.when(F.col(tag).isNull(), F.raise_error(F.concat(F.lit(f"a row lacks {tag}, by which keys are split; its event is "), F.coalesce("eventid", F.lit("null")))))
         sub = F.concat(sub, there.otherwise(F.concat(F.length(tag).cast("string"), F.lit(":"), F.col(tag))))
-    rows = rows.withWatermark("timestamp", f"{Plan.of(rules, keep).delay // 1000} milliseconds").select(
-        "key", sub.alias("sub"), "timestamp", F.unix_micros("timestamp").alias("at"), "streamid", "eventid", "open", rank.cast("int").alias("rank"), *TAG_SLOTS
-    )
     plan = Plan.of(rules, keep)
-    return rows.groupBy("key", "sub").transformWithState(Monitor(plan), StructType.fromDDL(OUTPUT), "Append", "EventTime")
+    at = F.unix_micros("timestamp")
+    words = ["key", sub, at, "streamid", "eventid", "open", rank.cast("int"), *TAG_SLOTS]
+    row = F.to_json(F.array(*[(F.col(w) if isinstance(w, str) else w).cast("string") for w in words]))
+    rows = rows.withWatermark("timestamp", f"{plan.delay // 1000} milliseconds").select(
+        F.pmod(F.xxhash64("key", sub), F.lit(groups)).cast("int").alias("group"), "timestamp", at.alias("at"), row.alias("row")
+    )
+    return rows.groupBy("group").transformWithState(Monitor(plan), StructType.fromDDL(OUTPUT), "Append", "EventTime")
 
 
 def start(findings: DataFrame, sink, checkpoint: str, trigger: dict | None = None):

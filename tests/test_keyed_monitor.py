@@ -182,3 +182,55 @@ def test_nothing_and_null_keys(spark, tmp_path):
     assert query.awaitTermination(120)
     assert [(f.key, f.eventid) for f in found] == [(None, "1")]
     assert keyed.missing(spark.createDataFrame([], keyed.OUTPUT)).where(F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("groups", [1, 8])
+def test_calls_on_state_do_not_grow_with_the_keys(spark, tmp_path, groups):
+    """400 keys in a few groups: one timer per group, and what the loop finds."""
+    rng = random.Random(groups)
+    rows = history(rng, 1200, keys=[f"u{i}" for i in range(400)])
+    rows[7:9] = [(*rows[7][:2], 'a "quoted", [key]\\', *rows[7][3:]), (*rows[8][:2], "ключ\n", *rows[8][3:])]
+    found = []
+    write(spark, f"{tmp_path}/in", [event(*r) for r in rows[:900]])
+    for more in (rows[900:], []):
+        events = normalise.parse_messages(readers.read_stream(spark, "parquet", f"{tmp_path}/in", "key string, value string"))
+        query = keyed.start(
+            keyed.keyed_findings(events, rules("close"), groups=groups), lambda f, _: found.extend(r.asDict() for r in f.collect()), f"{tmp_path}/cp", {"availableNow": True}
+        )
+        assert query.awaitTermination(300) and query.exception() is None
+        timers = [p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in query.recentProgress if p.stateOperators]
+        assert 0 < max(timers) <= 2 * groups
+        if more:
+            write(spark, f"{tmp_path}/in", [event(*r) for r in more])
+    missing = {identity(f): f["required_state"] for f in found if f["kind"] == "missing"}
+    assert missing == expected(spark, rows, rules("close")) and len(missing) > 50
+
+
+def test_rows_of_state_in_several_elements(monkeypatch):
+    class State:
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+        def get(self):
+            return iter(self.rows)
+
+    monkeypatch.setattr(keyed, "SENT", 3)
+    state = State()
+    rows = [[None, 'a "quoted", [key]\\', n, True] for n in range(7)]
+    for n, elements in ((7, 3), (6, 2), (0, 0)):
+        keyed.store(state, rows[:n])
+        assert len(state.rows) == elements and list(keyed.stored(state)) == rows[:n]
+
+
+def test_no_query_gives_up_by_the_clock(spark, monkeypatch):
+    """A stream that takes long is waited for: a wait with a limit, which says here that the time is up, would end it."""
+    from pyspark.sql.streaming import StreamingQuery
+
+    import __spark_entry__ as entry
+
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self) if timeout is None else False)
+    assert entry.queries()["stream_state_monitor_keyed"](spark, entry.SMALL).count() > 0
