@@ -21,21 +21,30 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STREAM_PARTS = 5
 FILES_PER_PART = 4
+ROWS_PER_FILE = 100_000
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table as a stream that arrives in time order: equal spans of time are written one after the other, and each
     becomes at least one micro-batch."""
     raw = raw_events(spark, sf_dir)
-    span = raw.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("first"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last")).first()
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = raw.agg(F.min(micros).alias("first"), F.max(micros).alias("last")).first()
     path = work_dir(spark, "events-in-order")
     width = ((span["last"] or 0) - (span["first"] or 0)) // STREAM_PARTS + 1
-    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(span["first"] or 0)) / F.lit(width))
+    # A row without a time arrives first.
+    part = F.coalesce(F.floor((micros - F.lit(span["first"] or 0)) / F.lit(width)), F.lit(0))
+    files = files_per_part([r["count"] for r in raw.groupBy(part.alias("part")).count().collect()])
     for i in range(STREAM_PARTS):
-        # A row without a time arrives first.
-        here = (part == i) | part.isNull() if i == 0 else part == i
-        raw.where(here).repartition(FILES_PER_PART).write.mode("append").parquet(path)
-    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", FILES_PER_PART).parquet(path)
+        raw.where(part == i).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def files_per_part(rows: list[int]) -> int:
+    """Every part has the same number of files, as a micro-batch takes so many; each is written and read by a task, so the number
+    grows with the rows. A part with few rows must still fill its files, or a micro-batch would reach into the next part."""
+    wanted = -(-sum(rows) // (STREAM_PARTS * ROWS_PER_FILE))
+    return max(FILES_PER_PART, min(wanted, min(rows) // 1000 if len(rows) == STREAM_PARTS else 0))
 
 
 def as_events(raw: DataFrame) -> DataFrame:

@@ -188,3 +188,11 @@ def test_feed_as_a_stream(spark, tmp_path):
     writers.run_available(feed, lambda df, i: df.write.mode("overwrite").parquet(f"{tmp_path}/out/b={i}"), str(tmp_path / "cp"))
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert (row.user, row.device, row.timestamp) == ("User1", "Device1", datetime(2024, 1, 1)) and row.file.endswith("/VPN.txt")
+
+
+def test_files_of_a_stream_grow_with_the_table():
+    """As many as tasks should read a part, the same for all parts; few where a part could not fill them."""
+    from kestrelwatch.plans import tables
+
+    assert [tables.files_per_part([n] * 5) for n in (0, 20_000, 1_200_000, 7_200_000)] == [4, 4, 12, 72]
+    assert tables.files_per_part([6_000_000, 5, 5, 5, 5]) == tables.files_per_part([6_000_000]) == tables.files_per_part([]) == 4
