@@ -225,7 +225,8 @@ def test_rows_of_state_in_several_elements(monkeypatch):
         assert len(state.rows) == elements and list(keyed.stored(state)) == rows[:n]
 
 
-def test_no_query_gives_up_by_the_clock(spark, monkeypatch):
+@pytest.mark.parametrize("name", ["stream_state_monitor_keyed", "stream_state_monitor", "stream_user_operation_counts"])
+def test_no_query_gives_up_by_the_clock(spark, monkeypatch, name):
     """A stream that takes long is waited for: a wait with a limit, which says here that the time is up, would end it."""
     from pyspark.sql.streaming import StreamingQuery
 
@@ -233,4 +234,4 @@ def test_no_query_gives_up_by_the_clock(spark, monkeypatch):
 
     wait = StreamingQuery.awaitTermination
     monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self) if timeout is None else False)
-    assert entry.queries()["stream_state_monitor_keyed"](spark, entry.SMALL).count() > 0
+    assert entry.queries()[name](spark, entry.SMALL).count() > 0
