@@ -10,7 +10,7 @@ share its encoding.
 from __future__ import annotations
 
 from array import array
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,22 @@ from kestrelwatch.llm import byte_bpe
 from kestrelwatch.llm.arrow import id_and_text, map_batches, raw_texts, slices
 
 REMEMBERED = 250_000
+PAIRS = 200_000
 SLICE = 1 << 20
 LAST = 1 << 40
+NONE = np.empty(0, dtype=np.int64)
+
+
+class Before(dict):
+    """Whether a token may stand right before ``right``, remembered by token; nothing (-1) always may."""
+
+    def __init__(self, near: Neighbours, right: int) -> None:
+        self.near, self.right = near, right
+
+    def __missing__(self, left: int) -> bool:
+        fits = left < 0 or self.near.apart(left, self.right)
+        self[left] = fits
+        return fits
 
 
 class Neighbours:
@@ -35,7 +49,8 @@ class Neighbours:
         for i, (a, b, t) in enumerate(zip(bpe.left.tolist(), bpe.right.tolist(), bpe.made.tolist(), strict=True)):
             self.parts.setdefault(t, (a, b, i))
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self.seen: dict[tuple[int, int], bool] = {}
+        self.after: dict[int, Before] = {}
+        self.remembered = 0
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The symbols at one end of a token while it grows, each with the rank of the merge that ends it."""
@@ -52,14 +67,17 @@ class Neighbours:
             self.edges[token, side] = found
         return found
 
+    def before(self, token: int) -> Before:
+        """What the memory knows about tokens before ``token``."""
+        return self.after.setdefault(token, Before(self, token))
+
     def apart(self, left: int, right: int) -> bool:
-        key = (left, right)
-        found = self.seen.get(key)
-        if found is None:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            found = self.seen[key] = self._apart(self.edge(left, 1), self.edge(right, 0))
-        return found
+        if self.remembered > PAIRS:
+            for known in self.after.values():
+                known.clear()
+            self.remembered = 0
+        self.remembered += 1
+        return self._apart(self.edge(left, 1), self.edge(right, 0))
 
     def _apart(self, lefts: list[tuple[int, int]], rights: list[tuple[int, int]]) -> bool:
         """Both ends grow rank by rank. A merge across the border comes first if its rank is below the next of both; of
@@ -78,9 +96,50 @@ class Neighbours:
                 j += 1
 
 
-class Lengths(dict):
-    def __missing__(self, ending: bytes) -> list[int]:
-        return [1]
+class State(dict):
+    """What a place of a word has in common with others: ``read``, the longest stretch of bytes up to there with which a token
+    begins, and so ``ends``, the tokens that end there (what may stand before them, token, length; longest first). The state
+    after one more byte stands under that byte and is found when a text first leads there, so a byte is read once, whatever
+    the lengths of tokens. There are no more states than beginnings of tokens."""
+
+    def __init__(self, endings: Endings, read: bytes) -> None:
+        self.endings, self.read = endings, read
+        tails = ((endings.token.get(read[i:]), len(read) - i) for i in range(len(read)))
+        self.ends = tuple((endings.near.before(t), t, n) for t, n in tails if t is not None)
+
+    def __missing__(self, byte: int) -> State:
+        found = self[byte] = self.endings.state(self.read + bytes((byte,)))
+        return found
+
+
+class Endings:
+    """The states of all places, as far as texts have led to them."""
+
+    def __init__(self, token: dict[bytes, int], near: Neighbours) -> None:
+        self.token, self.near = token, near
+        self.beginnings = {word[:i] for word in token for i in range(1, len(word) + 1)}
+        self.states: dict[bytes, State] = {}
+        self.root = State(self, b"")
+
+    def state(self, read: bytes) -> State:
+        while read not in self.beginnings:
+            read = read[1:]
+        found = self.states.get(read)
+        if found is None:
+            found = self.states[read] = State(self, read)
+        return found
+
+
+class Pieces(dict):
+    """Numbers of pieces. One that is asked for the first time gets the next number and waits to be learned."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self.words)
+        self.words.append(word)
+        return found
 
 
 class Encoder:
@@ -94,11 +153,7 @@ class Encoder:
         self.token = {bpe.spelled[t]: t for t in single | whole}
         self.near.edges.clear()  # those of tokens that texts use come back
         self.length = {t: len(w) for w, t in self.token.items()}
-        # Only lengths that occur with the last two bytes of a token need to be tried, longest first. One byte always can.
-        found: dict[bytes, set[int]] = {}
-        for word in self.token:
-            found.setdefault(word[-2:], {1}).add(len(word))
-        self.lengths = Lengths((b, sorted(n, reverse=True)) for b, n in found.items())
+        self.endings = Endings(self.token, self.near)
         self.forget()
 
     def _comes_about(self, a: int, b: int, token: int) -> bool:
@@ -118,58 +173,59 @@ class Encoder:
             else:
                 j += 1
 
-    def forget(self, but: set[str] = frozenset()) -> None:
-        """Forgets all pieces but the given ones, which a slice has just used."""
-        kept = [(word, self.ids[self.starts[i] : self.starts[i] + self.sizes[i]]) for word, i in ((word, self.known[word]) for word in but)]
-        self.known: dict[str, int] = {}
-        self.starts, self.sizes, self.ids = array("q"), array("q"), array("i")
-        for word, token in self.special.items():
-            self._remember(word, [token])
-        for word, ids in kept:
-            if word not in self.special:
-                self._remember(word, ids)
-
-    def _remember(self, word: str, ids: list[int]) -> None:
-        self.known[word] = len(self.starts)
-        self.starts.append(len(self.ids))
-        self.sizes.append(len(ids))
-        self.ids.extend(ids)
-
-    def learn(self, words: set[str]) -> None:
-        token, lengths, seen, apart = self.token.get, self.lengths, self.near.seen.get, self.near.apart
-        before, last = b"", [-1]  # the last token of every prefix of the word at hand
-        for raw, word in sorted((w.encode(), w) for w in words):
+    def forget(self, but: np.ndarray = NONE) -> None:
+        """Forgets all pieces but those with the given numbers, which a slice has just used. Special tokens come first."""
+        but = but[but >= len(self.special)]
+        words = [self.known.words[i] for i in but.tolist()]
+        ids, sizes = (gathered(self.ids, self.starts[but], self.sizes[but])[0], self.sizes[but]) if words else (NONE, NONE)
+        self.known = Pieces()
+        self.starts = self.sizes = self.ids = NONE
+        for word in chain(self.special, words):
+            self.known[word]
+        self._remember(np.r_[list(self.special.values()), ids].astype(np.int64), np.r_[[1] * len(self.special), sizes].astype(np.int64))
+
+    def _remember(self, ids: np.ndarray, sizes: np.ndarray, order: np.ndarray | None = None) -> None:
+        """The ids of the next pieces one after the other; ``order`` tells which of them each is, if not in the order of numbers."""
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        if order is not None:
+            places = np.argsort(order)
+            starts, sizes = starts[places], sizes[places]
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+
+    def learn(self, first: int) -> None:
+        """Finds the ids of the pieces from number ``first`` on."""
+        length = self.length
+        before, last, states = b"", [-1], [self.endings.root]  # the last token and the state at every place of the word at hand
+        order, sizes, found = [], array("q"), array("q")
+        for raw, number in sorted(zip(map(str.encode, self.known.words[first:]), count())):
             common = 0
             for x, y in zip(before, raw, strict=False):
                 if x != y:
                     break
                 common += 1
-            del last[common + 1 :]
-            for end in range(common + 1, len(raw) + 1):
-                for n in lengths[raw[end - 2 : end] if end > 1 else raw[:1]]:
-                    begin = end - n
-                    if begin < 0:
-                        continue
-                    t = token(raw[begin:end])
-                    if t is None:
-                        continue
-                    if begin:
-                        pair = (last[begin], t)
-                        fits = seen(pair)
-                        if not (apart(*pair) if fits is None else fits):
-                            continue
-                    last.append(t)
-                    break
+            del last[common + 1 :], states[common + 1 :]
+            state = states[common]
+            for byte in raw[common:]:
+                state = state[byte]
+                states.append(state)
+                for fits, t, n in state.ends:
+                    if fits[last[-n]]:  # where the token begins
+                        last.append(t)
+                        break
                 else:
-                    raise AssertionError(f"no token can end {raw[:end]!r}")
+                    raise AssertionError(f"no token can end {raw[: len(last)]!r}")
             ids, at = [], len(raw)
             while at:
                 t = last[at]
                 ids.append(t)
-                at -= self.length[t]
+                at -= length[t]
             ids.reverse()
-            self._remember(word, ids)
+            order.append(number)
+            sizes.append(len(ids))
+            found.extend(ids)
             before = raw
+        self._remember(np.array(found), np.array(sizes), np.array(order, dtype=np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text begins, closed by the total."""
@@ -177,12 +233,13 @@ class Encoder:
             self.forget(self.latest)
         special = tuple(self.special)
         cut = [byte_bpe.pieces(t, special) for t in texts]
-        known = self.known
-        self.latest = set(chain.from_iterable(cut))
-        self.learn(self.latest.difference(known))
-        which = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
-        starts, sizes, ids = (np.array(x) for x in (self.starts, self.sizes, self.ids))
-        flat, ends = gathered(ids, starts[which], sizes[which])
+        first = len(self.known)
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=sum(map(len, cut)))
+        self.learn(first)
+        used = np.zeros(len(self.known), dtype=bool)
+        used[which] = True
+        self.latest = np.flatnonzero(used)
+        flat, ends = gathered(self.ids, self.starts[which], self.sizes[which])
         bounds = np.r_[0, np.cumsum([len(ps) for ps in cut])]
         return flat, np.r_[0, ends][bounds]
 

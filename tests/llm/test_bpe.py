@@ -56,6 +56,46 @@ def test_memories_may_be_forgotten(library, monkeypatch, odd_texts):
         assert counter.count([text]) == [len(want)]
 
 
+def test_bytes_are_read_once_whatever_the_lengths_of_tokens(library):
+    """New words that lead through known states look up no token; before, every byte tried every length that could end there."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("aeinrst", k=12)) for _ in range(6000)]
+    encoder = trie_bpe.Encoder(byte_bpe.load(PATH))
+    encoder.encode(words[:5000])
+    encoder.token = Counted(encoder.token)
+    if hasattr(encoder, "endings"):
+        encoder.endings.token = encoder.token
+    flat, bounds = encoder.encode(words[5000:])
+    assert encoder.token.asked < 500
+    assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [e.ids for e in library.encode_batch(words[5000:], add_special_tokens=False)]
+
+
+def test_both_patterns_cut_alike():
+    import regex
+
+    rng, plain = random.Random(3), regex.compile(byte_bpe.PIECES)
+    ascii_ = [chr(i) for i in range(128)]
+    some = list("'srtvelmd  \n\t\x0b\x0c\x1c\x1f aZ09_!")
+    for alphabet in (ascii_, some, [*some, *"éß½４　᠎​\x85 中"]):
+        for _ in range(5000):
+            text = "".join(rng.choices(alphabet, k=rng.randrange(14)))
+            assert byte_bpe.pieces(text, ("<|endoftext|>",)) == plain.findall(text)
+
+
+def test_pairs_may_be_forgotten(library, monkeypatch, odd_texts):
+    monkeypatch.setattr(trie_bpe, "PAIRS", 10)
+    flat, _ = trie_bpe.Encoder(byte_bpe.load(PATH)).encode(odd_texts[:300])
+    assert flat.tolist() == [i for e in library.encode_batch(odd_texts[:300], add_special_tokens=False) for i in e.ids]
+
+
 def test_every_token_is_reached():
     bpe = byte_bpe.load(PATH)
     encoder = trie_bpe.Encoder(bpe)
